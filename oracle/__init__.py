@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("marts",)
+MODULES = ("marts", "kpis", "dashboard", "benchmark")
 
 
 def all_sql() -> dict[str, str]:

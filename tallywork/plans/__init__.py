@@ -4,6 +4,9 @@ from importlib import import_module
 
 QUERY_MODULES = (
     "mart_queries",
+    "kpi_queries",
+    "dashboard_queries",
+    "benchmark",
 )
 
 
