@@ -7,6 +7,10 @@ QUERY_MODULES = (
     "kpi_queries",
     "dashboard_queries",
     "benchmark",
+    "quality_queries",
+    "evaluation_queries",
+    "trial_queries",
+    "text_queries",
 )
 
 

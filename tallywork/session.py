@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +57,21 @@ def materialise(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder, for written tables."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed by the operators that run Python inside tasks; submitting the package with
+    ``--py-files`` does the same.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallywork-"), "tallywork")
+    context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(root), os.path.basename(root)))
+    _SHIPPED.add(context.applicationId)
