@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("marts", "kpis", "dashboard", "benchmark", "quality", "evaluation", "trials", "text")
+MODULES = ("marts", "kpis", "dashboard", "benchmark", "quality", "evaluation", "trials", "text", "sources")
 
 
 def all_sql() -> dict[str, str]:

@@ -1,9 +1,11 @@
 """Order-insensitive comparison of two result tables with a numeric tolerance.
 
 Both sides are sorted by the same columns (their sorted names) and compared position by
-position. Equal rows are collapsed to runs first, so copies cost nothing to sort, and runs
-are laid out by blocks of positions: each block holds a bounded number of cells whatever
-the distribution of values, and one exchange brings both sides of a block together.
+position. The two tables become one table of distinct rows with their numbers of copies
+on either side, so copies cost nothing to sort and one global order serves both. Rows
+that fill the same positions on both sides match as they are; only the others unfold to
+positions. They are laid out by blocks of positions: a block holds a bounded number of
+cells whatever the distribution of values, and one exchange brings its two sides together.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.operators.globalorder import running_total
+from tallywork.operators.globalorder import running_totals
 
 TOLERANCE = 0.001
 PASS_SHARE = 0.95
@@ -21,13 +23,22 @@ BLOCK_ROWS = 65536
 FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
-def _runs(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """Distinct rows with the half-open range of positions that their copies fill."""
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+def _runs(got: DataFrame, want: DataFrame) -> DataFrame:
+    """Distinct rows with the half-open range of positions their copies fill on each side."""
+    columns = sorted(got.columns)
+    sides = [
+        side.select(*columns, F.lit(in_got).alias("__got"), F.lit(1 - in_got).alias("__want"))
+        for side, in_got in ((got, 1), (want, 0))
+    ]
+    counted = sides[0].unionByName(sides[1]).groupBy(*columns).agg(
+        F.sum("__got").alias("__got"), F.sum("__want").alias("__want")
+    )
     order = [F.col(c).asc_nulls_last() for c in columns]
-    placed = running_total(counted, order, F.col("__copies"), "__end")
-    return placed.select(
-        (F.col("__end") - F.col("__copies")).alias("__start"), "__end", F.struct(*columns).alias(side)
+    ends = {"__got_end": F.col("__got"), "__want_end": F.col("__want")}
+    return running_totals(counted, order, ends).select(
+        F.struct(*columns).alias("row"), "__got", "__want",
+        (F.col("__got_end") - F.col("__got")).alias("__got_start"),
+        (F.col("__want_end") - F.col("__want")).alias("__want_start"),
     )
 
 
@@ -53,14 +64,31 @@ def _same(left: Column, right: Column, left_type: T.DataType, right_type: T.Data
 def cell_matches(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """One row: ``got_rows, want_rows, matching`` cells, for tables of the same columns."""
     columns = sorted(got.columns)
-    runs = _runs(got, columns, "got").unionByName(_runs(want, columns, "want"), allowMissingColumns=True)
+    runs = _runs(got, want)
+    aligned = (F.col("__got_start") == F.col("__want_start")) & (F.col("__got") == F.col("__want"))
+    whole = runs.filter(aligned).agg(
+        F.sum("__got").alias("got_rows"),
+        F.sum("__want").alias("want_rows"),
+        (F.sum("__got") * len(columns)).alias("matching"),
+    )
     size = F.lit(BLOCK_ROWS)
-    blocks = F.sequence(F.floor(F.col("__start") / size), F.floor((F.col("__end") - 1) / size))
-    laid = runs.withColumn("__block", F.explode(blocks)).repartition("__block")
-    first = F.greatest(F.col("__start"), F.col("__block") * size)
-    last = F.least(F.col("__end"), (F.col("__block") + 1) * size) - 1
+    sides = F.explode(F.array(*[
+        F.struct(
+            F.lit(side).alias("side"), F.col(f"__{side}_start").alias("start"),
+            (F.col(f"__{side}_start") + F.col(f"__{side}")).alias("end"),
+        )
+        for side in ("got", "want")
+    ]))
+    shifted = runs.filter(~aligned).select("row", sides.alias("s")).filter("s.end > s.start")
+    blocks = F.sequence(F.floor(F.col("s.start") / size), F.floor((F.col("s.end") - 1) / size))
+    laid = shifted.withColumn("__block", F.explode(blocks)).repartition("__block")
+    first = F.greatest(F.col("s.start"), F.col("__block") * size)
+    last = F.least(F.col("s.end"), (F.col("__block") + 1) * size) - 1
     pairs = (
-        laid.select("__block", F.explode(F.sequence(first, last)).alias("__position"), "got", "want")
+        laid.select(
+            "__block", F.explode(F.sequence(first, last)).alias("__position"),
+            *[F.when(F.col("s.side") == side, F.col("row")).alias(side) for side in ("got", "want")],
+        )
         .groupBy("__block", "__position")
         .agg(F.first("got", ignorenulls=True).alias("got"), F.first("want", ignorenulls=True).alias("want"))
     )
@@ -72,10 +100,13 @@ def cell_matches(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE)
         for c in columns
     ]
     both = F.col("got").isNotNull() & F.col("want").isNotNull()
-    return pairs.agg(
+    positions = pairs.agg(
         F.count("got").alias("got_rows"),
         F.count("want").alias("want_rows"),
-        F.coalesce(F.sum(F.when(both, sum(matches[1:], matches[0]))), F.lit(0)).alias("matching"),
+        F.sum(F.when(both, sum(matches[1:], matches[0]))).alias("matching"),
+    )
+    return whole.unionByName(positions).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("got_rows", "want_rows", "matching")]
     )
 
 

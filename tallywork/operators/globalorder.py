@@ -13,7 +13,7 @@ The order must be total (end it with a unique key): tied rows could not be sprea
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,35 +22,45 @@ from pyspark.sql import functions as F
 from tallywork.session import materialise
 
 PLACE = "__place"
-CARRY = "__carry"
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     order_by: Sequence[Column],
-    value: Column,
-    out: str,
+    values: Mapping[str, Column],
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """``df`` plus ``out``: the sum of ``value`` from its group's first row to this one."""
+    """``df`` plus, for each ``name: value``, the sum of ``value`` from its group's first row on."""
     groups = [F.col(c) for c in partition_by]
     placed = materialise(
         df.repartitionByRange(*groups, *order_by).withColumn(PLACE, F.spark_partition_id())
     )
-    parts = placed.groupBy(PLACE, *partition_by).agg(F.sum(value).alias(CARRY))
+    parts = placed.groupBy(PLACE, *partition_by).agg(*[F.sum(v).alias(n) for n, v in values.items()])
     before = Window.partitionBy(*partition_by).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.withColumn(CARRY, F.sum(CARRY).over(before)).filter(F.col(CARRY).isNotNull())
+    carry = parts.select(
+        F.col(PLACE), *groups,
+        F.lag(F.lit(True)).over(Window.partitionBy(*partition_by).orderBy(PLACE)).alias("__continues"),
+        *[F.sum(n).over(before).alias(n) for n in values],
+    ).filter("__continues")
     within = (
         Window.partitionBy(PLACE, *partition_by)
         .orderBy(*order_by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = placed.withColumn(out, F.sum(value).over(within)).alias("l")
+    local = placed.select("*", *[F.sum(v).over(within).alias(n) for n, v in values.items()]).alias("l")
     same = [F.col(f"l.{PLACE}") == F.col(f"c.{PLACE}")]
     same += [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in partition_by]
     joined = local.join(F.broadcast(carry.alias("c")), reduce(Column.__and__, same), "left")
-    summed = F.col(f"l.{out}") + F.coalesce(F.col(f"c.{CARRY}"), F.lit(0))
-    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], summed.alias(out))
+    return joined.select(
+        *[F.col(f"l.{c}").alias(c) for c in df.columns],
+        *[(F.col(f"l.{n}") + F.coalesce(F.col(f"c.{n}"), F.lit(0))).alias(n) for n in values],
+    )
+
+
+def running_total(
+    df: DataFrame, order_by: Sequence[Column], value: Column, out: str, partition_by: Sequence[str] = ()
+) -> DataFrame:
+    return running_totals(df, order_by, {out: value}, partition_by)
 
 
 def with_position(

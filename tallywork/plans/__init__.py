@@ -11,6 +11,7 @@ QUERY_MODULES = (
     "evaluation_queries",
     "trial_queries",
     "text_queries",
+    "source_queries",
 )
 
 
