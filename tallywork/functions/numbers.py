@@ -1,4 +1,10 @@
-"""Ratios, exact money totals and rounding."""
+"""Ratios, exact money totals and rounding.
+
+Money is summed exactly, so that results do not depend on the order of addition. Sums of
+wide DECIMALs are slow on Spark (one big-number object per row), so the facts add whole
+cents as BIGINTs, split into a high and a low part: each part's sum stays far from
+overflow even over trillions of rows, and the two recombine to one DECIMAL at the end.
+"""
 
 from __future__ import annotations
 
@@ -18,15 +24,40 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
 
 
+PART_BITS = 20
+
+
+def to_cents(value: Column) -> Column:
+    """A two-decimal DOUBLE as whole cents."""
+    return F.floor(value * 100 + 0.5).cast("long")
+
+
+def decimal_cents(value: Column) -> Column:
+    """A two-decimal DECIMAL as whole cents."""
+    return (value * 100).cast("long")
+
+
+def summed_parts(cents: Column, name: str) -> list[Column]:
+    """Aggregates ``name_hi`` and ``name_lo`` that together hold the exact sum of ``cents``."""
+    low = F.lit((1 << PART_BITS) - 1).cast("long")
+    return [
+        F.sum(F.shiftright(cents, PART_BITS)).alias(f"{name}_hi"),
+        F.sum(cents.bitwiseAND(low)).alias(f"{name}_lo"),
+    ]
+
+
+def exact_sum(name: str) -> Column:
+    """Sum over rows holding ``name_hi`` and ``name_lo``, as a two-decimal DECIMAL."""
+    high, low = (F.sum(f"{name}_{part}").cast("decimal(20,0)") for part in ("hi", "lo"))
+    cents = high * F.lit(1 << PART_BITS) + low
+    return cents * F.lit("0.01").cast("decimal(3,2)")
+
+
 def total(value: Column) -> Column:
     """Exact sum (fixed point inside), delivered as DOUBLE."""
     return F.sum(value).cast("double")
 
 
-def mean_of_sum(sum_column: Column, count_column: Column) -> Column:
-    return ratio(sum_column, count_column)
-
-
 def rounded(value: Column, digits: int = 6) -> Column:
     """Averages of DOUBLE ratios: the last bits depend on the order of addition."""
     return F.round(value, digits)

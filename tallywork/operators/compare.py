@@ -23,11 +23,26 @@ BLOCK_ROWS = 65536
 FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
+def _family(data_type: T.DataType) -> str:
+    if isinstance(data_type, T.NumericType):
+        return "number"
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "time"
+    return data_type.simpleString()
+
+
+def _comparable(got: DataFrame, want: DataFrame, column: str) -> bool:
+    return _family(got.schema[column].dataType) == _family(want.schema[column].dataType)
+
+
 def _runs(got: DataFrame, want: DataFrame) -> DataFrame:
     """Distinct rows with the half-open range of positions their copies fill on each side."""
     columns = sorted(got.columns)
     sides = [
-        side.select(*columns, F.lit(in_got).alias("__got"), F.lit(1 - in_got).alias("__want"))
+        side.select(
+            *[F.col(c) if _comparable(got, want, c) else F.col(c).cast("string").alias(c) for c in columns],
+            F.lit(in_got).alias("__got"), F.lit(1 - in_got).alias("__want"),
+        )
         for side, in_got in ((got, 1), (want, 0))
     ]
     counted = sides[0].unionByName(sides[1]).groupBy(*columns).agg(
@@ -42,14 +57,6 @@ def _runs(got: DataFrame, want: DataFrame) -> DataFrame:
     )
 
 
-def _family(data_type: T.DataType) -> str:
-    if isinstance(data_type, T.NumericType):
-        return "number"
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "time"
-    return data_type.simpleString()
-
-
 def _same(left: Column, right: Column, left_type: T.DataType, right_type: T.DataType, tolerance: float) -> Column:
     """NULL (or NaN) equals NULL; two fractional numbers may differ by ``tolerance``."""
     if isinstance(left_type, FRACTIONAL) and isinstance(right_type, FRACTIONAL):
@@ -65,7 +72,10 @@ def cell_matches(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE)
     """One row: ``got_rows, want_rows, matching`` cells, for tables of the same columns."""
     columns = sorted(got.columns)
     runs = _runs(got, want)
-    aligned = (F.col("__got_start") == F.col("__want_start")) & (F.col("__got") == F.col("__want"))
+    aligned = (
+        F.lit(all(_comparable(got, want, c) for c in columns))
+        & (F.col("__got_start") == F.col("__want_start")) & (F.col("__got") == F.col("__want"))
+    )
     whole = runs.filter(aligned).agg(
         F.sum("__got").alias("got_rows"),
         F.sum("__want").alias("want_rows"),

@@ -6,6 +6,9 @@ orders first (partial aggregation on the map side, so a hot order shrinks before
 leaves one row per order and grain: counting orders becomes a plain count, and at most
 one true distinct (customers) remains, which Spark plans in two skew-proof steps.
 
+Money is held as exact partial sums (``revenue_hi``/``_lo``, ``gross_profit_hi``/``_lo``, see
+``functions.numbers``); the aggregates at the end of this module recombine them.
+
 ``order_id`` is the primary key of the orders, so an order has one customer and one date.
 """
 
@@ -17,23 +20,40 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.functions.numbers import ratio, rounded, total
+from tallywork.functions.numbers import decimal_cents, exact_sum, ratio, rounded, summed_parts
 from tallywork.sources.star import NEEDS, Star, derived_columns
 
 LINE_KEYS = {"product_id", "product_name", "product_category"}
 
 
+# The line column that each measure of the star schema's sales is computed from.
+LINE_COLUMN = {
+    "quantity": "quantity",
+    "revenue": "revenue_cents",
+    "gross_profit": "gross_profit_cents",
+    "profit_margin": "line_margin",
+}
+
+
 def _collapsing(columns: Iterable[str]) -> list[Column]:
     columns = set(columns)
     aggregates = [F.count(F.lit(1)).alias("line_count")]
-    for name in ("quantity", "revenue", "gross_profit"):
+    if "quantity" in columns:
+        aggregates.append(F.sum("quantity").alias("quantity"))
+    for name in ("revenue", "gross_profit"):
+        if f"{name}_cents" in columns:
+            aggregates += summed_parts(F.col(f"{name}_cents"), name)
+        elif name in columns:
+            aggregates += summed_parts(decimal_cents(F.col(name)), name)
+    for name in ("revenue_cents", "revenue"):
+        if name in columns:
+            aggregates.append(F.count(name).alias("revenue_rows"))
+            break
+    for name in ("line_margin", "profit_margin"):
         if name in columns:
-            aggregates.append(F.sum(name).alias(name))
-    if "revenue" in columns:
-        aggregates.append(F.count("revenue").alias("revenue_rows"))
-    if "profit_margin" in columns:
-        aggregates.append(F.sum("profit_margin").alias("margin_sum"))
-        aggregates.append(F.count("profit_margin").alias("margin_rows"))
+            aggregates.append(F.sum(name).alias("margin_sum"))
+            aggregates.append(F.count(name).alias("margin_rows"))
+            break
     return aggregates
 
 
@@ -57,15 +77,16 @@ def order_facts(
     headers filters the lines first.
     """
     if since is not None or until is not None:
-        columns = dict.fromkeys([*keys, "order_id", "customer_id", *measures])
+        columns = dict.fromkeys([*keys, "order_id", "customer_id", *map(LINE_COLUMN.get, measures)])
         return collapse(star.sales(columns, since, until), keys)
     line_keys = [k for k in keys if k in LINE_KEYS]
-    needs = set(line_keys).union(*(NEEDS.get(m, {m}) for m in measures))
+    values = [LINE_COLUMN[m] for m in measures]
+    needs = set(line_keys).union(*(NEEDS.get(v, {v}) for v in values))
     derived = derived_columns()
     lines = star.order_lines(needs).select(
-        "order_id", *line_keys, *[derived.get(m, F.col(m)).alias(m) for m in measures]
+        "order_id", *line_keys, *[derived.get(v, F.col(v)).alias(v) for v in values]
     )
-    lines = lines.groupBy("order_id", *line_keys).agg(*_collapsing(measures))
+    lines = lines.groupBy("order_id", *line_keys).agg(*_collapsing(values))
     header_keys = [k for k in keys if k not in LINE_KEYS]
     header_columns = set().union({"customer_id"}, *(NEEDS.get(k, {k}) for k in header_keys))
     headers = star.order_headers(header_columns)
@@ -91,19 +112,19 @@ def quantity() -> Column:
 
 
 def revenue() -> Column:
-    return total(F.col("revenue"))
+    return exact_sum("revenue").cast("double")
 
 
 def profit() -> Column:
-    return total(F.col("gross_profit"))
+    return exact_sum("gross_profit").cast("double")
 
 
 def revenue_per(count: Column) -> Column:
-    return ratio(F.sum("revenue"), count)
+    return ratio(exact_sum("revenue"), count)
 
 
 def mean_line_revenue() -> Column:
-    return ratio(F.sum("revenue"), F.sum("revenue_rows"))
+    return ratio(exact_sum("revenue"), F.sum("revenue_rows"))
 
 
 def mean_margin() -> Column:

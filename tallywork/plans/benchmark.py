@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.functions.numbers import ratio, total
+from tallywork.functions.numbers import exact_sum, ratio, total
 from tallywork.operators import orderfacts as of
 from tallywork.operators.orderfacts import order_facts
 from tallywork.plans.registry import query
@@ -84,7 +84,7 @@ def customers_gt5_orders(star: Star) -> DataFrame:
 @query()
 def revenue_per_customer_by_state(star: Star) -> DataFrame:
     per_customer = order_facts(star, [], ["revenue"]).groupBy("customer_id").agg(
-        F.sum("revenue").alias("revenue")
+        exact_sum("revenue").alias("revenue")
     )
     return (
         per_customer.join(star.customers(["customer_state"]), "customer_id", "inner")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.functions.numbers import ratio, total
+from tallywork.functions.numbers import exact_sum, ratio, total
 from tallywork.operators import orderfacts as of
 from tallywork.operators.globalorder import running_total
 
@@ -50,7 +50,9 @@ def trend_daily(orders: DataFrame) -> DataFrame:
 def trend_daily_summary(orders: DataFrame) -> DataFrame:
     """Mean revenue per day with orders, and the window's totals."""
     daily = orders.groupBy("order_date").agg(
-        F.sum("revenue").alias("revenue"), F.count("order_id").alias("orders"), F.sum("gross_profit").alias("profit")
+        exact_sum("revenue").alias("revenue"),
+        F.count("order_id").alias("orders"),
+        exact_sum("gross_profit").alias("profit"),
     )
     return daily.agg(
         ratio(F.sum("revenue"), F.count("revenue")).alias("avg_daily_revenue"),
@@ -112,9 +114,9 @@ def top_products(orders: DataFrame, n: int = 15) -> DataFrame:
 def top_customers(orders: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
     """Totals per customer first, then their names, then grouped by name as displayed."""
     per_customer = orders.groupBy("customer_id").agg(
-        F.sum("revenue").alias("revenue"),
+        exact_sum("revenue").alias("revenue"),
         F.count("order_id").alias("orders"),
-        F.sum("gross_profit").alias("profit"),
+        exact_sum("gross_profit").alias("profit"),
     )
     return (
         per_customer.join(names, "customer_id", "left")

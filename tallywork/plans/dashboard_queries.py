@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.dates import window_start
-from tallywork.functions.numbers import rounded
+from tallywork.functions.numbers import exact_sum, rounded
 from tallywork.operators import anomaly
 from tallywork.operators import orderfacts as of
 from tallywork.operators.orderfacts import order_facts
@@ -83,7 +83,7 @@ def top_customers(star: Star) -> DataFrame:
 
 
 def _customer_revenue(star: Star) -> DataFrame:
-    return _customer_orders(star, ["revenue"]).groupBy("customer_id").agg(F.sum("revenue").alias("revenue"))
+    return _customer_orders(star, ["revenue"]).groupBy("customer_id").agg(exact_sum("revenue").alias("revenue"))
 
 
 @query()

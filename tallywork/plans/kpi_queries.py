@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tallywork.operators import orderfacts as of
 from tallywork.operators.orderfacts import order_facts
 from tallywork.plans import kpis
 from tallywork.plans.kpi_specs import KPIS, ORDER_ROWS, KpiSpec
@@ -36,7 +36,7 @@ def measure_totals(star: Star) -> DataFrame:
 @query()
 def measure_yoy_growth(star: Star) -> DataFrame:
     monthly = order_facts(star, ["order_month"], ["revenue"]).groupBy("order_month").agg(
-        F.sum("revenue").cast("double").alias("revenue")
+        of.revenue().alias("revenue")
     )
     return kpis.yoy_growth(monthly)
 

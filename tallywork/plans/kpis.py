@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.functions.numbers import ratio, total
+from tallywork.functions.numbers import ratio
+from tallywork.operators import orderfacts as of
 from tallywork.plans.kpi_specs import KpiSpec, KpiTest
 
 
@@ -27,11 +28,11 @@ def kpi_at_grain(sales: DataFrame, spec: KpiSpec, grain: Sequence[str] | None =
 
 def measure_totals(orders: DataFrame) -> DataFrame:
     """Total Revenue, Total Orders and their quotient, 0 where there is no order."""
-    revenue, count = total(F.col("revenue")), F.count("order_id")
+    count = of.order_count()
     return orders.agg(
-        revenue.alias("total_revenue"),
+        of.revenue().alias("total_revenue"),
         count.alias("total_orders"),
-        F.coalesce(ratio(F.sum("revenue"), count), F.lit(0.0)).alias("avg_order_value"),
+        F.coalesce(of.revenue_per(count), F.lit(0.0)).alias("avg_order_value"),
     )
 
 

@@ -19,14 +19,13 @@ def fact_orders(star: Star) -> DataFrame:
 
 @query()
 def dim_customer(star: Star) -> DataFrame:
-    sales = star.sales(["customer_id", "order_id", "order_date", "revenue"])
     attributes = ["customer_name", "customer_segment", "customer_state"]
     customers = (
         star.customers(attributes)
         .join(star.signups(), "customer_id", "left")
         .withColumnsRenamed({"customer_segment": "segment", "customer_state": "state"})
     )
-    return marts.dim_customer(customers, sales, star.as_of())
+    return marts.dim_customer(customers, order_facts(star, ["order_date"], ["revenue"]), star.as_of())
 
 
 @query()
@@ -41,7 +40,7 @@ def fct_kpis_monthly(star: Star) -> DataFrame:
 
 @query()
 def fct_product_performance(star: Star) -> DataFrame:
-    sales = star.sales(["product_id", "order_id", "order_date", "quantity", "price"])
+    sales = star.sales(["product_id", "order_id", "order_date", "quantity", "price_cents"])
     return marts.fct_product_performance(star.products(), sales)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions import dates
-from tallywork.functions.numbers import ratio, rounded, total
+from tallywork.functions.numbers import decimal_cents, exact_sum, ratio, rounded, summed_parts, total
 from tallywork.operators import orderfacts as of
 
 FACT_COLUMNS = (
@@ -31,23 +31,18 @@ def fact_orders(sales: DataFrame) -> DataFrame:
     )
 
 
-def dim_customer(customers: DataFrame, sales: DataFrame, as_of: dt.date) -> DataFrame:
+def dim_customer(customers: DataFrame, orders: DataFrame, as_of: dt.date) -> DataFrame:
     """Lifetime metrics per customer; customers without orders keep NULLs and a zero count.
 
-    Sales collapse to one row per customer before they meet the dimension.
+    ``orders``: order facts at ``["order_date"]``. They collapse to one row per customer
+    before they meet the dimension.
     """
-    orders = sales.groupBy("customer_id", "order_id").agg(
-        F.sum("revenue").alias("revenue"),
-        F.count("revenue").alias("revenue_rows"),
-        F.min("order_date").alias("first_date"),
-        F.max("order_date").alias("last_date"),
-    )
     lifetime = orders.groupBy("customer_id").agg(
         F.count("order_id").alias("lifetime_orders"),
-        total(F.col("revenue")).alias("lifetime_revenue"),
-        ratio(F.sum("revenue"), F.sum("revenue_rows")).alias("avg_order_value"),
-        F.min("first_date").alias("first_order_date"),
-        F.max("last_date").alias("last_order_date"),
+        of.revenue().alias("lifetime_revenue"),
+        of.mean_line_revenue().alias("avg_order_value"),
+        F.min("order_date").alias("first_order_date"),
+        F.max("order_date").alias("last_order_date"),
     )
     days = F.datediff(F.lit(as_of), F.col("last_order_date")).cast("long")
     return customers.join(lifetime, "customer_id", "left").select(
@@ -104,19 +99,20 @@ def fct_product_performance(products: DataFrame, sales: DataFrame) -> DataFrame:
     a line's margin is 1 − c/price. Sales are therefore summed per product first, and
     only those sums meet the product table: the lines are never shuffled for the cost.
     """
-    earning = F.col("quantity") * F.col("price") != 0
-    orders = sales.groupBy("product_id", "order_id").agg(
+    cents = F.col("price_cents") if "price_cents" in sales.columns else decimal_cents(F.col("price"))
+    revenue = F.col("quantity") * F.col("cents")
+    orders = sales.withColumn("cents", cents).groupBy("product_id", "order_id").agg(
         F.sum("quantity").alias("quantity"),
-        F.sum(F.col("quantity") * F.col("price")).alias("revenue"),
-        F.count_if(earning).alias("margin_rows"),
-        F.sum(F.when(earning, 1 / F.col("price").cast("double"))).alias("inverse_price"),
+        *summed_parts(revenue, "revenue"),
+        F.count_if(revenue != 0).alias("margin_rows"),
+        F.sum(F.when(revenue != 0, 100 / F.col("cents").cast("double"))).alias("inverse_price"),
         F.min("order_date").alias("first_date"),
         F.max("order_date").alias("last_date"),
     )
     sums = orders.groupBy("product_id").agg(
         F.count("order_id").alias("order_count"),
         F.sum("quantity").cast("long").alias("total_quantity_sold"),
-        F.sum("revenue").alias("revenue"),
+        exact_sum("revenue").alias("revenue"),
         F.sum("margin_rows").alias("margin_rows"),
         F.sum("inverse_price").alias("inverse_price"),
         F.min("first_date").alias("first_sale_date"),
@@ -150,7 +146,7 @@ def fct_customer_cohorts(signups: DataFrame, orders: DataFrame) -> DataFrame:
     Months are negative for orders placed before the signup.
     """
     monthly = orders.groupBy("customer_id", "order_month").agg(
-        F.count("order_id").alias("orders"), F.sum("revenue").alias("revenue")
+        F.count("order_id").alias("orders"), exact_sum("revenue").alias("revenue")
     )
     cohort = signups.select("customer_id", dates.month_start(F.col("signup_date")).alias("cohort_month"))
     months = dates.months_between_starts(F.col("cohort_month"), F.col("order_month"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,30 +22,42 @@ def _condition(error: Exception) -> str:
     return (named() if named else None) or str(error).splitlines()[0]
 
 
+def _counted(tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t, df in tables.items()]
+    return {r.t: r.n for r in reduce(DataFrame.unionByName, counts).collect()} if counts else {}
+
+
 def extract_all(
     spark: SparkSession, datasets: Mapping[str, Callable[[], DataFrame]]
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Load every dataset; what is missing or unreadable is reported and the rest goes on.
 
     Returns the loaded tables (also registered by name) and a report ``name, rows, error``.
-    All counts come from one job.
+    All counts come from one job; only if that fails are the tables counted one by one to
+    find the unreadable ones.
     """
-    tables, counts, errors = {}, [], []
+    tables, errors = {}, {}
     for name, load in datasets.items():
         try:
-            tables[name] = io.as_table(load(), name)
+            tables[name] = load()
         except FileNotFoundError:
-            errors.append((name, None, "not found"))
-        except PySparkException as error:
-            errors.append((name, None, _condition(error)))
+            errors[name] = "not found"
+        except Exception as error:  # the report is the place for any failure of one dataset
+            errors[name] = _condition(error)
+    try:
+        counts = _counted(tables)
+    except Exception:
+        counts = {}
+        for name in list(tables):
+            try:
+                counts |= _counted({name: tables[name]})
+            except Exception as error:
+                errors[name] = _condition(error)
+                del tables[name]
     for name, df in tables.items():
-        counts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("name"), "rows", F.lit(None).cast("string").alias("error")
-        ))
-    report = spark.createDataFrame(errors, REPORT)
-    for counted in counts:
-        report = report.unionByName(counted)
-    return tables, report
+        io.as_table(df, name)
+    report = [(name, counts.get(name), errors.get(name)) for name in datasets]
+    return tables, spark.createDataFrame(report, REPORT)
 
 
 def build_marts(
@@ -67,7 +79,7 @@ def build_marts(
             counted = build().observe(seen, F.count(F.lit(1)).alias("rows"))
             io.sink_parquet(counted, os.path.join(out_dir, name), partition_by)
             report.append((name, seen.get["rows"], None))
-        except PySparkException as error:
+        except Exception as error:  # one failed mart must not keep the others from being built
             report.append((name, None, _condition(error)))
 
     deliver("fact_orders", lambda: fact.select(*marts.FACT_COLUMNS), ["year"])
@@ -76,7 +88,7 @@ def build_marts(
         return spark.read.parquet(os.path.join(out_dir, "fact_orders"))
 
     signups = customers.select("customer_id", "signup_date")
-    deliver("dim_customer", lambda: marts.dim_customer(customers, stored(), as_of))
+    deliver("dim_customer", lambda: marts.dim_customer(customers, collapse(stored(), ["order_date"]), as_of))
     deliver("fct_revenue_daily", lambda: marts.fct_revenue_daily(collapse(stored(), marts.DAILY_KEYS)))
     deliver("fct_kpis_monthly", lambda: marts.fct_kpis_monthly(collapse(stored(), marts.MONTHLY_KEYS)))
     deliver("fct_product_performance", lambda: marts.fct_product_performance(products, stored()))

@@ -38,7 +38,11 @@ def scan_csv(
     """
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     reader = reader.option("escape", '"').option("multiLine", multi_line)  # quotes in values are doubled
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    if schema is not None:
+        # Every column is parsed even if unused, so that a bad value cannot slip through a count.
+        reader = reader.schema(schema).option("columnPruning", False)
+    else:
+        reader = reader.option("inferSchema", True)
     return as_table(_existing(reader.csv, path), table)
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import dates
-from tallywork.functions.numbers import as_money, ratio
+from tallywork.functions.numbers import as_money, ratio, to_cents
 from tallywork.schema import STAR
 
-PRODUCT_COLUMNS = {"product_name", "product_category", "product_cost"}
+PRODUCT_COLUMNS = {"product_name", "product_category", "product_cost", "product_cost_cents"}
 CUSTOMER_COLUMNS = {"customer_name", "customer_segment"}
 STATE_COLUMNS = {"customer_state"}
 REGION_COLUMNS = {"region"}
@@ -29,6 +29,9 @@ NEEDS = {
     "revenue": {"quantity", "price"},
     "gross_profit": {"quantity", "price", "product_cost"},
     "profit_margin": {"quantity", "price", "product_cost"},
+    "revenue_cents": {"quantity", "price_cents"},
+    "gross_profit_cents": {"quantity", "price_cents", "product_cost_cents"},
+    "line_margin": {"quantity", "price_cents", "product_cost_cents"},
     "order_month": {"order_date"},
     "order_quarter": {"order_date"},
     "order_year": {"order_date"},
@@ -43,10 +46,15 @@ def derived_columns() -> dict[str, Column]:
     date = F.col("order_date")
     revenue = F.col("quantity") * F.col("price")
     profit = revenue - F.col("quantity") * F.col("product_cost")
+    revenue_cents = F.col("quantity") * F.col("price_cents")
+    profit_cents = revenue_cents - F.col("quantity") * F.col("product_cost_cents")
     return {
         "revenue": revenue,
         "gross_profit": profit,
         "profit_margin": ratio(profit, revenue),
+        "revenue_cents": revenue_cents,
+        "gross_profit_cents": profit_cents,
+        "line_margin": ratio(profit_cents, revenue_cents),
         "order_month": dates.month_start(date),
         "order_quarter": dates.quarter_start(date),
         "order_year": dates.year_start(date),
@@ -63,9 +71,13 @@ class Star:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(STAR.schema(name)).parquet(f"{self.path}/{name}.parquet")
+        if name not in self._tables:
+            reader = self.spark.read.schema(STAR.schema(name))
+            self._tables[name] = reader.parquet(f"{self.path}/{name}.parquet")
+        return self._tables[name]
 
     def as_of(self) -> dt.date:
         """Default reporting day: the latest order date (a one-column scan, one row back)."""
@@ -111,6 +123,7 @@ class Star:
             "product_name": F.col("p_name"),
             "product_category": F.col("p_type"),
             "product_cost": as_money(F.col("p_retailprice")),
+            "product_cost_cents": to_cents(F.col("p_retailprice")),
         }
         return self.table("part").select(*[e.alias(c) for c, e in available.items() if c in wanted])
 
@@ -147,6 +160,7 @@ class Star:
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
             as_money(F.col("l_extendedprice")).alias("price"),
+            to_cents(F.col("l_extendedprice")).alias("price_cents"),
         )
         attributes = wanted & PRODUCT_COLUMNS
         if attributes:
@@ -158,13 +172,20 @@ class Star:
     ) -> DataFrame:
         """Order lines with the asked-for columns, including the derived fact columns.
 
-        The join on the order comes last: a following aggregation per order then needs
-        no exchange of its own.
+        Over the whole history the join on the order comes last, so that a following
+        aggregation per order needs no exchange of its own. With a date window it comes
+        first: the few orders inside cut the lines down before the products join.
         """
         wanted = list(dict.fromkeys(columns))
         raw = set().union(*(NEEDS.get(c, {c}) for c in wanted))
-        lines = self.order_lines(raw)
         headers = self.order_headers(raw, since, until)
-        sales = lines.join(headers, "order_id", "inner")
+        if since is None and until is None:
+            sales = self.order_lines(raw).join(headers, "order_id", "inner")
+        else:
+            attributes = raw & PRODUCT_COLUMNS
+            keys = {"product_id"} if attributes else set()
+            sales = self.order_lines(raw - attributes | keys).join(headers, "order_id", "inner")
+            if attributes:
+                sales = sales.join(self.products(attributes), "product_id", "left")
         derived = derived_columns()
         return sales.select(*[derived.get(c, F.col(c)).alias(c) for c in wanted])

@@ -1,9 +1,8 @@
 import pytest
-from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from tallywork.etl import run_etl
 from tallywork.plans import evaluation
+from tallywork.plans.warehouse import extract_all
 from tallywork.schema import RETAIL
 from tallywork.session import shared_dir
 from tallywork.sources import io
@@ -41,8 +40,13 @@ def test_missing_and_bad_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         io.scan_csv(spark, str(tmp_path / "none.csv"))
     (tmp_path / "bad.csv").write_text(ORDERS + "x,y,z,1,2,3,4\n")
-    with pytest.raises(PySparkException):
-        io.scan_csv(spark, str(tmp_path / "bad.csv"), schema=RETAIL.schema("orders")).collect()
+    load = lambda: io.scan_csv(spark, str(tmp_path / "bad.csv"), schema=RETAIL.schema("orders"))
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        load().collect()
+    tables, report = extract_all(spark, {"bad": load, "good": lambda: spark.range(3)})
+    assert list(tables) == ["good"]
+    assert [(r.name, r.rows) for r in report.collect()] == [("bad", None), ("good", 3)]
+    assert report.first().error
 
 
 def test_etl_builds_all_marts(spark, raw, tmp_path):
