@@ -50,7 +50,27 @@ SUMMED = """summed AS (SELECT approach, COUNT(*) AS tasks,
     round(coalesce(CAST(SUM(tokens) FILTER (WHERE error IS NULL) AS DOUBLE), 0) * CAST(0.000001 AS DOUBLE), 9) AS total_cost
   FROM log GROUP BY 1)"""
 
+GOLD = "SELECT region, SUM(quantity * price) AS total_revenue FROM tallywork_sales GROUP BY region"
+
+
+def query_score(task: str, sql: str, execution: str, static: bool) -> str:
+    share = 1.0 if static else 0.5
+    matched = f"({execution}) >= CAST(0.95 AS DOUBLE)"
+    return f"""SELECT '{task}' AS task_id, {matched} AND {static} AS passed,
+      ({execution}) * CAST(0.7 AS DOUBLE) + CAST({share} AS DOUBLE) * CAST(0.3 AS DOUBLE) AS score,
+      {matched} AS execution_match, {static} AS static_checks_passed,
+      CAST({2 * len(sql.split())} AS BIGINT) AS token_cost, {execution} AS execution_score FROM n"""
+
+
 SQL = {
+    # What each answer must score, given how many regions it returns.
+    "evaluate_query": f"""WITH {SALES}, n AS (SELECT COUNT(DISTINCT region) AS all_regions,
+        COUNT(DISTINCT region) FILTER (WHERE region <> 'ASIA') AS kept FROM sales) """ + " UNION ALL ".join([
+        query_score("right", GOLD + " ORDER BY region", "CAST(1 AS DOUBLE)", True),
+        query_score("filtered", GOLD.replace(" GROUP", " WHERE region <> 'ASIA' GROUP"),
+                    "CAST(CASE WHEN kept = all_regions THEN 1 WHEN kept = 0 THEN 0 ELSE 0.6 END AS DOUBLE)", True),
+        query_score("wider", "SELECT * FROM tallywork_sales", "CAST(0.5 AS DOUBLE)", False),
+        query_score("failing", GOLD, "CAST(0 AS DOUBLE)", True)]),
     "compare_results": f"""WITH {FACT}, m AS (SELECT order_month, region, {ORDERS} AS order_count, {REVENUE} AS revenue
         FROM fact GROUP BY 1, 2),
       n AS (SELECT * REPLACE (revenue + {OFF.format(by='month(order_month) % 3')} AS revenue) FROM m),

@@ -28,7 +28,7 @@ def run_etl(spark: SparkSession, raw_dir: str, out_dir: str, as_of: dt.date | No
         )
         for name in RETAIL.tables
     }
-    tables, extracted = extract_all(spark, datasets)
+    tables, extracted = extract_all(spark, datasets, verify=True)
     if set(tables) != set(RETAIL.tables):
         return extracted, None
     as_of = as_of or tables["orders"].agg(F.max("order_date")).first()[0]

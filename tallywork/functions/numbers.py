@@ -27,30 +27,33 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 PART_BITS = 20
 
 
-def to_cents(value: Column) -> Column:
-    """A two-decimal DOUBLE as whole cents."""
-    return F.floor(value * 100 + 0.5).cast("long")
+def money_sql(column: str) -> str:
+    """SQL for a two-decimal DOUBLE column as fixed point."""
+    return f"CAST({column} AS {MONEY})"
 
 
-def decimal_cents(value: Column) -> Column:
-    """A two-decimal DECIMAL as whole cents."""
-    return (value * 100).cast("long")
+def cents_sql(column: str) -> str:
+    """SQL for a two-decimal DOUBLE column as whole cents."""
+    return f"CAST(FLOOR({column} * 100 + 0.5D) AS BIGINT)"
 
 
-def summed_parts(cents: Column, name: str) -> list[Column]:
-    """Aggregates ``name_hi`` and ``name_lo`` that together hold the exact sum of ``cents``."""
-    low = F.lit((1 << PART_BITS) - 1).cast("long")
+def decimal_cents(column: str) -> str:
+    """SQL for a two-decimal DECIMAL column as whole cents."""
+    return f"CAST({column} * 100 AS BIGINT)"
+
+
+def summed_parts(cents: str, name: str) -> list[Column]:
+    """Aggregates ``name_hi`` and ``name_lo`` that together hold the exact sum of the SQL ``cents``."""
     return [
-        F.sum(F.shiftright(cents, PART_BITS)).alias(f"{name}_hi"),
-        F.sum(cents.bitwiseAND(low)).alias(f"{name}_lo"),
+        F.expr(f"SUM(SHIFTRIGHT({cents}, {PART_BITS})) AS {name}_hi"),
+        F.expr(f"SUM({cents} & {(1 << PART_BITS) - 1}L) AS {name}_lo"),
     ]
 
 
 def exact_sum(name: str) -> Column:
     """Sum over rows holding ``name_hi`` and ``name_lo``, as a two-decimal DECIMAL."""
-    high, low = (F.sum(f"{name}_{part}").cast("decimal(20,0)") for part in ("hi", "lo"))
-    cents = high * F.lit(1 << PART_BITS) + low
-    return cents * F.lit("0.01").cast("decimal(3,2)")
+    high, low = (f"CAST(SUM({name}_{part}) AS DECIMAL(20,0))" for part in ("hi", "lo"))
+    return F.expr(f"({high} * {1 << PART_BITS} + {low}) * 0.01BD")
 
 
 def total(value: Column) -> Column:

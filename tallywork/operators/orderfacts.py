@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.numbers import decimal_cents, exact_sum, ratio, rounded, summed_parts
-from tallywork.sources.star import NEEDS, Star, derived_columns
+from tallywork.sources.star import NEEDS, Star, fact_column
 
 LINE_KEYS = {"product_id", "product_name", "product_category"}
 
@@ -42,9 +42,9 @@ def _collapsing(columns: Iterable[str]) -> list[Column]:
         aggregates.append(F.sum("quantity").alias("quantity"))
     for name in ("revenue", "gross_profit"):
         if f"{name}_cents" in columns:
-            aggregates += summed_parts(F.col(f"{name}_cents"), name)
+            aggregates += summed_parts(f"{name}_cents", name)
         elif name in columns:
-            aggregates += summed_parts(decimal_cents(F.col(name)), name)
+            aggregates += summed_parts(decimal_cents(name), name)
     for name in ("revenue_cents", "revenue"):
         if name in columns:
             aggregates.append(F.count(name).alias("revenue_rows"))
@@ -82,18 +82,13 @@ def order_facts(
     line_keys = [k for k in keys if k in LINE_KEYS]
     values = [LINE_COLUMN[m] for m in measures]
     needs = set(line_keys).union(*(NEEDS.get(v, {v}) for v in values))
-    derived = derived_columns()
-    lines = star.order_lines(needs).select(
-        "order_id", *line_keys, *[derived.get(v, F.col(v)).alias(v) for v in values]
-    )
+    lines = star.order_lines(needs).select("order_id", *line_keys, *map(fact_column, values))
     lines = lines.groupBy("order_id", *line_keys).agg(*_collapsing(values))
     header_keys = [k for k in keys if k not in LINE_KEYS]
     header_columns = set().union({"customer_id"}, *(NEEDS.get(k, {k}) for k in header_keys))
     headers = star.order_headers(header_columns)
-    headers = headers.select(
-        "order_id", "customer_id",
-        *[derived.get(k, F.col(k)).alias(k) for k in header_keys if k not in ("order_id", "customer_id")],
-    )
+    extra = [k for k in header_keys if k not in ("order_id", "customer_id")]
+    headers = headers.select("order_id", "customer_id", *map(fact_column, extra))
     return lines.join(headers, "order_id", "inner")
 
 

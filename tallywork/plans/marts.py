@@ -99,11 +99,11 @@ def fct_product_performance(products: DataFrame, sales: DataFrame) -> DataFrame:
     a line's margin is 1 − c/price. Sales are therefore summed per product first, and
     only those sums meet the product table: the lines are never shuffled for the cost.
     """
-    cents = F.col("price_cents") if "price_cents" in sales.columns else decimal_cents(F.col("price"))
-    revenue = F.col("quantity") * F.col("cents")
-    orders = sales.withColumn("cents", cents).groupBy("product_id", "order_id").agg(
+    cents = "price_cents" if "price_cents" in sales.columns else decimal_cents("price")
+    revenue = F.expr("quantity * cents")
+    orders = sales.withColumn("cents", F.expr(cents)).groupBy("product_id", "order_id").agg(
         F.sum("quantity").alias("quantity"),
-        *summed_parts(revenue, "revenue"),
+        *summed_parts("quantity * cents", "revenue"),
         F.count_if(revenue != 0).alias("margin_rows"),
         F.sum(F.when(revenue != 0, 100 / F.col("cents").cast("double"))).alias("inverse_price"),
         F.min("order_date").alias("first_date"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.numbers import as_money
-from tallywork.sources.star import NEEDS, derived_columns
+from tallywork.sources.star import DERIVED, NEEDS
 
 
 def retail_sales(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
@@ -32,5 +32,4 @@ def retail_sales(orders: DataFrame, customers: DataFrame, products: DataFrame) -
         .join(buyers, "customer_id", "left")
         .join(goods, "product_id", "left")
     )
-    derived = derived_columns()
-    return joined.withColumns({c: derived[c] for c in NEEDS if NEEDS[c] <= set(joined.columns)})
+    return joined.withColumns({c: DERIVED[c]() for c in DERIVED if NEEDS[c] <= set(joined.columns)})

@@ -10,13 +10,13 @@ skewed keys.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import dates
-from tallywork.functions.numbers import as_money, ratio, to_cents
+from tallywork.functions.numbers import cents_sql, money_sql, ratio
 from tallywork.schema import STAR
 
 PRODUCT_COLUMNS = {"product_name", "product_category", "product_cost", "product_cost_cents"}
@@ -42,27 +42,42 @@ NEEDS = {
 }
 
 
-def derived_columns() -> dict[str, Column]:
-    date = F.col("order_date")
-    revenue = F.col("quantity") * F.col("price")
-    profit = revenue - F.col("quantity") * F.col("product_cost")
-    revenue_cents = F.col("quantity") * F.col("price_cents")
-    profit_cents = revenue_cents - F.col("quantity") * F.col("product_cost_cents")
-    return {
-        "revenue": revenue,
-        "gross_profit": profit,
-        "profit_margin": ratio(profit, revenue),
-        "revenue_cents": revenue_cents,
-        "gross_profit_cents": profit_cents,
-        "line_margin": ratio(profit_cents, revenue_cents),
-        "order_month": dates.month_start(date),
-        "order_quarter": dates.quarter_start(date),
-        "order_year": dates.year_start(date),
-        "year": dates.year(date),
-        "quarter": dates.quarter(date),
-        "month": dates.month(date),
-        "day_of_week": dates.day_of_week(date),
-    }
+def _revenue() -> Column:
+    return F.col("quantity") * F.col("price")
+
+
+def _profit() -> Column:
+    return _revenue() - F.col("quantity") * F.col("product_cost")
+
+
+def _revenue_cents() -> Column:
+    return F.col("quantity") * F.col("price_cents")
+
+
+def _profit_cents() -> Column:
+    return _revenue_cents() - F.col("quantity") * F.col("product_cost_cents")
+
+
+DERIVED: dict[str, Callable[[], Column]] = {
+    "revenue": _revenue,
+    "gross_profit": _profit,
+    "profit_margin": lambda: ratio(_profit(), _revenue()),
+    "revenue_cents": _revenue_cents,
+    "gross_profit_cents": _profit_cents,
+    "line_margin": lambda: ratio(_profit_cents(), _revenue_cents()),
+    "order_month": lambda: dates.month_start(F.col("order_date")),
+    "order_quarter": lambda: dates.quarter_start(F.col("order_date")),
+    "order_year": lambda: dates.year_start(F.col("order_date")),
+    "year": lambda: dates.year(F.col("order_date")),
+    "quarter": lambda: dates.quarter(F.col("order_date")),
+    "month": lambda: dates.month(F.col("order_date")),
+    "day_of_week": lambda: dates.day_of_week(F.col("order_date")),
+}
+
+
+def fact_column(name: str) -> Column:
+    """A fact column by name, computed where it is a derived one."""
+    return DERIVED[name]().alias(name) if name in DERIVED else F.col(name)
 
 
 class Star:
@@ -106,7 +121,7 @@ class Star:
             "customer_state": "n_name",
             "region": "r_name",
         }
-        return customer.select(*[F.col(src).alias(c) for c, src in available.items() if c in wanted])
+        return customer.selectExpr(*[f"{source} AS {c}" for c, source in available.items() if c in wanted])
 
     def signups(self) -> DataFrame:
         """Signup day per customer. The tables have none, so it is the first order day."""
@@ -119,13 +134,13 @@ class Star:
     def products(self, columns: Iterable[str] = ("product_name", "product_category", "product_cost")) -> DataFrame:
         wanted = {"product_id", *columns}
         available = {
-            "product_id": F.col("p_partkey"),
-            "product_name": F.col("p_name"),
-            "product_category": F.col("p_type"),
-            "product_cost": as_money(F.col("p_retailprice")),
-            "product_cost_cents": to_cents(F.col("p_retailprice")),
+            "product_id": "p_partkey",
+            "product_name": "p_name",
+            "product_category": "p_type",
+            "product_cost": money_sql("p_retailprice"),
+            "product_cost_cents": cents_sql("p_retailprice"),
         }
-        return self.table("part").select(*[e.alias(c) for c, e in available.items() if c in wanted])
+        return self.table("part").selectExpr(*[f"{e} AS {c}" for c, e in available.items() if c in wanted])
 
     # -- facts ----------------------------------------------------------------------
 
@@ -142,10 +157,8 @@ class Star:
             orders = orders.filter(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
         if until is not None:
             orders = orders.filter(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz"))
-        headers = orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("o_custkey").alias("customer_id"),
+        headers = orders.selectExpr(
+            "o_orderkey AS order_id", "CAST(o_orderdate AS DATE) AS order_date", "o_custkey AS customer_id"
         )
         attributes = wanted & (CUSTOMER_COLUMNS | STATE_COLUMNS | REGION_COLUMNS)
         if attributes:
@@ -155,12 +168,12 @@ class Star:
     def order_lines(self, columns: Iterable[str] = ()) -> DataFrame:
         """One row per line item, with product attributes where asked for."""
         wanted = {"order_id", *columns}
-        lines = self.table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            as_money(F.col("l_extendedprice")).alias("price"),
-            to_cents(F.col("l_extendedprice")).alias("price_cents"),
+        lines = self.table("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "CAST(l_quantity AS INT) AS quantity",
+            f"{money_sql('l_extendedprice')} AS price",
+            f"{cents_sql('l_extendedprice')} AS price_cents",
         )
         attributes = wanted & PRODUCT_COLUMNS
         if attributes:
@@ -187,5 +200,4 @@ class Star:
             sales = self.order_lines(raw - attributes | keys).join(headers, "order_id", "inner")
             if attributes:
                 sales = sales.join(self.products(attributes), "product_id", "left")
-        derived = derived_columns()
-        return sales.select(*[derived.get(c, F.col(c)).alias(c) for c in wanted])
+        return sales.select(*[fact_column(c) for c in wanted])

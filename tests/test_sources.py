@@ -43,7 +43,7 @@ def test_missing_and_bad_files(spark, tmp_path):
     load = lambda: io.scan_csv(spark, str(tmp_path / "bad.csv"), schema=RETAIL.schema("orders"))
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         load().collect()
-    tables, report = extract_all(spark, {"bad": load, "good": lambda: spark.range(3)})
+    tables, report = extract_all(spark, {"bad": load, "good": lambda: spark.range(3)}, verify=True)
     assert list(tables) == ["good"]
     assert [(r.name, r.rows) for r in report.collect()] == [("bad", None), ("good", 3)]
     assert report.first().error
