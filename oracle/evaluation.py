@@ -44,8 +44,8 @@ SUMMED = """summed AS (SELECT approach, COUNT(*) AS tasks,
     CAST(COUNT(*) FILTER (WHERE error IS NULL AND score > CAST(0.7 AS DOUBLE)) AS DOUBLE) / COUNT(*) * 100 AS accuracy_pct,
     coalesce(CAST(SUM(tokens) FILTER (WHERE error IS NULL) AS DOUBLE), 0)
       / greatest(COUNT(*) FILTER (WHERE error IS NULL), 1) AS avg_tokens,
-    round(coalesce(SUM(latency) FILTER (WHERE error IS NULL), 0)
-      / greatest(COUNT(*) FILTER (WHERE error IS NULL), 1), 6) AS avg_latency,
+    coalesce(CAST(SUM(CAST(latency AS DECIMAL(18,6))) FILTER (WHERE error IS NULL) AS DOUBLE), 0)
+      / greatest(COUNT(*) FILTER (WHERE error IS NULL), 1) AS avg_latency,
     COUNT(error) AS errors,
     round(coalesce(CAST(SUM(tokens) FILTER (WHERE error IS NULL) AS DOUBLE), 0) * CAST(0.000001 AS DOUBLE), 9) AS total_cost
   FROM log GROUP BY 1)"""
@@ -99,6 +99,6 @@ SQL = {
         round((s.avg_tokens / NULLIF(b.avg_tokens, 0) - 1) * 100, 6) AS tokens_delta_pct FROM summed s, b""",
     "genome_metrics": f"""WITH {LOG} SELECT genome_id, round(avg(score), 6) AS accuracy,
       round(CAST(COUNT(*) FILTER (WHERE NOT ({STAR_SELECT} OR {CROSS} OR {SCAN})) AS DOUBLE) / COUNT(*), 6) AS tests,
-      CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS cost, round(avg(latency), 6) AS latency,
+      CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS cost, CAST(SUM(CAST(latency AS DECIMAL(18,6))) AS DOUBLE) / COUNT(latency) AS latency,
       COUNT(*) AS tasks_evaluated, CAST(SUM(tokens) AS BIGINT) AS total_tokens FROM log GROUP BY 1""",
 }

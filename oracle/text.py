@@ -89,7 +89,7 @@ GRADED = f"""{LOG}, graded AS (SELECT approach,
   CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(user_id % 11 AS VARCHAR) END AS raw_score,
   event_id % 7 <> 0 AS syntax_ok, {STAR_SELECT} OR {CROSS} OR {NON_EQUI} AS flawed,
   CASE WHEN event_id % 3 = 0 THEN (event_id % 10) / CAST(10 AS DOUBLE) END AS test_pass_rate FROM log)"""
-GRADE = """SELECT approach, COUNT(*) AS graded, round(avg(score), 6) AS mean_score,
+GRADE = """SELECT approach, COUNT(*) AS graded, CAST(SUM(CAST(score AS DECIMAL(18,9))) AS DOUBLE) / COUNT(score) AS mean_score,
   round(CAST(COUNT(*) FILTER (WHERE passed) AS DOUBLE) / COUNT(*), 6) AS pass_rate FROM g GROUP BY 1"""
 
 SQL = {

@@ -219,6 +219,6 @@ def grade_kpi(graded: DataFrame) -> DataFrame:
 def grade_summary(graded: DataFrame, by: Sequence[str]) -> DataFrame:
     return graded.groupBy(*by).agg(
         F.count(F.lit(1)).alias("graded"),
-        rounded(F.avg("score")).alias("mean_score"),
+        ratio(F.sum(F.col("score").cast("decimal(18,9)")), F.count("score")).alias("mean_score"),
         rounded(ratio(F.count_if("passed"), F.count(F.lit(1)))).alias("pass_rate"),
     )

@@ -18,6 +18,8 @@ KPI_EXECUTION_WEIGHT, KPI_PROPERTY_WEIGHT = 0.6, 0.4
 CORRECT_ABOVE = 0.7
 PRICE_PER_TOKEN = 0.001 / 1000
 
+SECONDS = "decimal(18,6)"  # summed exactly, to the microsecond
+
 
 def evaluate_query(
     spark: SparkSession, task_id: str, generated_sql: str, gold_sql: str | None = None,
@@ -144,12 +146,12 @@ def approach_summary(results: DataFrame, baseline: str) -> DataFrame:
     errors = F.count_if(~ok)
     answered = F.greatest(total - errors, F.lit(1))
     tokens = F.coalesce(F.sum(F.when(ok, F.col("tokens"))), F.lit(0))
-    seconds = F.coalesce(F.sum(F.when(ok, F.col("latency"))), F.lit(0.0))
+    seconds = F.coalesce(F.sum(F.when(ok, F.col("latency").cast(SECONDS))).cast("double"), F.lit(0.0))
     summed = results.groupBy("approach").agg(
         total.alias("tasks"),
         (ratio(F.count_if(ok & (F.col("score") > CORRECT_ABOVE)), total) * 100).alias("accuracy_pct"),
         ratio(tokens, answered).alias("avg_tokens"),
-        rounded(seconds / answered).alias("avg_latency"),
+        ratio(seconds, answered).alias("avg_latency"),
         errors.alias("errors"),
         rounded(tokens * F.lit(PRICE_PER_TOKEN), 9).alias("total_cost"),
     )
@@ -168,7 +170,7 @@ def genome_metrics(results: DataFrame, key: str = "genome_id") -> DataFrame:
         rounded(F.avg("score")).alias("accuracy"),
         rounded(ratio(F.count_if(clean), F.count(F.lit(1)))).alias("tests"),
         ratio(F.sum("tokens"), F.count(F.lit(1))).alias("cost"),
-        rounded(F.avg("latency")).alias("latency"),
+        ratio(F.sum(F.col("latency").cast(SECONDS)), F.count("latency")).alias("latency"),
         F.count(F.lit(1)).alias("tasks_evaluated"),
         F.sum("tokens").alias("total_tokens"),
     )
