@@ -138,7 +138,8 @@ def cumulative_share(entities: DataFrame, key: str, value: str) -> DataFrame:
     ``value`` is fixed point, so the running sum is exact in any partitioning.
     """
     ranked = running_total(entities, [F.col(value).desc_nulls_last(), F.col(key)], F.col(value), "cumulative")
-    overall = entities.agg(F.sum(value).cast("double").alias("overall"))
+    # from the ranked table, whose rows are already stored
+    overall = ranked.agg(F.sum(value).cast("double").alias("overall"))
     share = ratio(F.col("cumulative"), overall.scalar()) * 100
     return ranked.withColumn("cumulative_pct", share)
 

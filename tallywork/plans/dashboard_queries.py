@@ -14,6 +14,7 @@ from tallywork.operators import orderfacts as of
 from tallywork.operators.orderfacts import order_facts
 from tallywork.plans import dashboard
 from tallywork.plans.registry import query
+from tallywork.session import materialise
 from tallywork.sources.star import Star
 
 FULL_HISTORY = 10000
@@ -110,18 +111,21 @@ def pareto_curve(star: Star) -> DataFrame:
     )
 
 
-def _daily(star: Star, days: int, measures=("revenue",)) -> DataFrame:
+def _daily(star: Star, days: int) -> DataFrame:
+    """Daily metrics, computed once: the scoring below reads them several times."""
     since = _window(star, days) if days < FULL_HISTORY else None
-    return order_facts(star, ["order_date"], measures, since=since)
+    return materialise(
+        order_facts(star, ["order_date"], ["revenue"], since=since).groupBy("order_date").agg(
+            of.revenue().alias("daily_revenue"),
+            of.order_count().alias("daily_orders"),
+            of.mean_line_revenue().alias("avg_order_value"),
+        )
+    )
 
 
 @query()
 def daily_metrics_with_z(star: Star) -> DataFrame:
-    daily = _daily(star, dashboard.TREND_DAYS).groupBy("order_date").agg(
-        of.revenue().alias("daily_revenue"),
-        of.order_count().alias("daily_orders"),
-        of.mean_line_revenue().alias("avg_order_value"),
-    )
+    daily = _daily(star, dashboard.TREND_DAYS)
     return anomaly.with_zscore(daily, "daily_revenue", min_rows=11).select(
         *daily.columns,
         rounded(F.col("zscore")).alias("revenue_zscore"),
@@ -129,13 +133,11 @@ def daily_metrics_with_z(star: Star) -> DataFrame:
     )
 
 
-def _revenue_anomalies(star: Star, days: int) -> DataFrame:
-    daily = _daily(star, days).groupBy("order_date").agg(of.revenue().alias("daily_revenue"))
+def _revenue_anomalies(daily: DataFrame) -> DataFrame:
     return anomaly.zscore_anomalies(daily, "daily_revenue", "order_date", "Revenue")
 
 
-def _order_anomalies(star: Star, days: int) -> DataFrame:
-    daily = _daily(star, days).groupBy("order_date").agg(of.order_count().alias("daily_orders"))
+def _order_anomalies(daily: DataFrame) -> DataFrame:
     return anomaly.zscore_anomalies(daily, "daily_orders", "order_date", "Order Count")
 
 
@@ -150,24 +152,27 @@ def _flat(anomalies: DataFrame) -> DataFrame:
 @query()
 def zscore_anomalies(star: Star) -> DataFrame:
     """Full history of daily order totals."""
-    daily = star.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("order_date")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("daily_total")
+    daily = materialise(
+        star.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("order_date")).agg(
+            F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("daily_total")
+        )
     )
     return _flat(anomaly.zscore_anomalies(daily, "daily_total", "order_date", "Order Total"))
 
 
 @query()
 def revenue_anomalies(star: Star) -> DataFrame:
-    return _flat(_revenue_anomalies(star, 90))
+    return _flat(_revenue_anomalies(_daily(star, 90)))
 
 
 @query()
 def order_anomalies(star: Star) -> DataFrame:
-    return _flat(_order_anomalies(star, 90))
+    return _flat(_order_anomalies(_daily(star, 90)))
 
 
 def _all_anomalies(star: Star, days: int = FULL_HISTORY) -> DataFrame:
-    return anomaly.all_anomalies(_revenue_anomalies(star, days), _order_anomalies(star, days))
+    daily = _daily(star, days)
+    return anomaly.all_anomalies(_revenue_anomalies(daily), _order_anomalies(daily))
 
 
 @query()

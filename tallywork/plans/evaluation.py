@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywork.functions import lint, text
@@ -155,11 +155,15 @@ def approach_summary(results: DataFrame, baseline: str) -> DataFrame:
         errors.alias("errors"),
         rounded(tokens * F.lit(PRICE_PER_TOKEN), 9).alias("total_cost"),
     )
-    base = summed.filter(F.col("approach") == baseline).select(F.struct("accuracy_pct", "avg_tokens")).scalar()
-    return summed.withColumn("b", base).select(
-        *summed.columns,
-        rounded(F.col("accuracy_pct") - F.col("b.accuracy_pct")).alias("accuracy_delta"),
-        rounded((ratio(F.col("avg_tokens"), F.col("b.avg_tokens")) - 1) * 100).alias("tokens_delta_pct"),
+    # One row per approach by now, so that an unpartitioned window is a small one.
+    every = Window.partitionBy()
+    is_base = F.col("approach") == baseline
+    base_accuracy = F.max(F.when(is_base, F.col("accuracy_pct"))).over(every)
+    base_tokens = F.max(F.when(is_base, F.col("avg_tokens"))).over(every)
+    return summed.select(
+        "*",
+        rounded(F.col("accuracy_pct") - base_accuracy).alias("accuracy_delta"),
+        rounded((ratio(F.col("avg_tokens"), base_tokens) - 1) * 100).alias("tokens_delta_pct"),
     )
 
 
