@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywork.functions.numbers import rounded
+from tallywork.operators.globalorder import with_position
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ DEFAULT_OBJECTIVES = (
     Objective("latency", 0.1, inverse=True),
 )
 FLAT_RANGE = 1e-9
+GROUP_LIMIT = 1000  # Spark's default for pruning ranked groups before the exchange
 
 
 def score_column(name: str) -> str:
@@ -118,12 +120,18 @@ def elites(
 ) -> DataFrame:
     """Per generation the best max(1, population_size // 4) trials (all, if there are fewer).
 
-    The literal rank bound lets Spark keep only each task's best rows before the exchange,
-    so a large generation does not travel.
+    A small literal rank bound lets Spark keep only each task's best rows before the
+    exchange, so a large generation does not travel. Above the bound that Spark does this
+    for, ranks come from the distributed order instead.
     """
-    best_first = Window.partitionBy(generation).orderBy(F.col("weighted_score").desc_nulls_last(), key)
-    ranked = trials.withColumn("rank", F.row_number().over(best_first))
-    return ranked.filter(F.col("rank") <= max(1, population_size // 4))
+    kept = max(1, population_size // 4)
+    best_first = [F.col("weighted_score").desc_nulls_last(), F.col(key)]
+    if kept <= GROUP_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(generation).orderBy(*best_first))
+        ranked = trials.withColumn("rank", rank)
+    else:
+        ranked = with_position(trials, best_first, "rank", [generation])
+    return ranked.filter(F.col("rank") <= kept)
 
 
 def best_trial(trials: DataFrame, key: str) -> DataFrame:

@@ -83,6 +83,15 @@ def test_elites_and_best(spark):
     assert ob.best_trial(df, "id").first().id == 19
 
 
+def test_many_elites_use_the_distributed_order(spark, monkeypatch):
+    df = spark.range(60).select(
+        F.col("id"), F.lit(0).alias("generation"), (F.col("id") % 10 / 10.0).alias("weighted_score")
+    )
+    direct = rows(ob.elites(df, "id", 40), "rank", "id")
+    monkeypatch.setattr(ob, "GROUP_LIMIT", 3)
+    assert rows(ob.elites(df, "id", 40), "rank", "id") == direct
+
+
 def test_archive_keeps_the_best(spark):
     df = spark.createDataFrame([(i, float(i), float(50 - i), float(i % 7)) for i in range(50)],
                                "id long, a double, b double, weighted_score double")
