@@ -68,7 +68,7 @@ class SchemaRegistry:
         return {table: schema.json() for table, schema in self.tables.items()}
 
 
-# The reference model: one fact and two dimensions, delivered as CSV.
+# The retail model: one fact and two dimensions, delivered as CSV.
 RETAIL = SchemaRegistry.from_text("""
 orders: order_id INTEGER pk, order_date DATE, customer_id INTEGER fk=customers.customer_id, product_id INTEGER fk=products.product_id, quantity INTEGER, price DOUBLE, region VARCHAR
 customers: customer_id INTEGER pk, customer_name VARCHAR, segment VARCHAR, state VARCHAR, signup_date DATE
