@@ -39,6 +39,15 @@ def without_spaces(text: Column) -> Column:
     return reduce(lambda t, space: F.replace(t, F.lit(space), F.lit("")), SPACES, text)
 
 
+def row_keys(id_col: str, text_col: str) -> dict[str, Column]:
+    """What tells the rows of a table apart, without nulls: rows that agree repeat both id and text."""
+    return {
+        "id": F.coalesce(named(id_col).cast("string"), F.lit("")),
+        "no_id": named(id_col).isNull(),
+        "text_hash": F.xxhash64(text_of(text_col)),
+    }
+
+
 def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as one struct beside new columns, so that no name can clash; see ``unboxed``."""
     return df.select(F.struct("*").alias(ROW), *[c.alias(n) for n, c in columns.items()])

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywork.llm import bpe as _bpe
 from tallywork.llm import exact_dedup as _exact
+from tallywork.llm import line_dedup as _lines
+from tallywork.llm import mixing as _mixing
+from tallywork.llm import pii as _pii
 from tallywork.llm import quality_rules as _quality
 from tallywork.llm import simhash as _simhash
 from tallywork.llm.common import table
@@ -17,11 +23,43 @@ def op1_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, path, "documents")).drop("n_chars")
 
 
+def op2_mixing(spark: SparkSession, path: str) -> DataFrame:
+    return _mixing.mix(table(spark, path, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source"
+    )
+
+
 def op4_simhash(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     return _simhash.near_duplicates(table(spark, path, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_pii(spark: SparkSession, path: str) -> DataFrame:
+    found = _pii.pii_spans(table(spark, path, "documents"))
+    base = [k.name for k in _pii.KINDS if k.base]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind))
+
+    return found.select(
+        "doc_id",
+        *[number(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_bpe(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataFrame:
+    ship_package(spark)
+    coded = _bpe.encode_documents(table(spark, path, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op9_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     return _quality.quality_report(table(spark, path, "documents")).select(
@@ -29,6 +67,12 @@ def op9_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return _lines.line_dedup(table(spark, path, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op4_simhash, op9_quality_rules)
+    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_simhash, op6_pii, op7_bpe, op9_quality_rules, op10_line_dedup)
 }

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.llm.common import boxed, named, store, text_of, unboxed
+from tallywork.llm.common import boxed, named, row_keys, store, text_of, unboxed
 from tallywork.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -148,9 +148,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = near_duplicates(docs, id_col, text_col).filter("first").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_hash"
     )
-    box = boxed(
-        docs, id=F.coalesce(named(id_col).cast("string"), F.lit("")), no_id=named(id_col).isNull(),
-        text_hash=F.xxhash64(text_of(text_col)),
-    )
+    box = boxed(docs, **row_keys(id_col, text_col))
     # Rows that repeat id and text are of one component, whose one row stays.
     return unboxed(box.join(keep, keys, "left_semi").dropDuplicates(keys))

@@ -14,4 +14,50 @@ WITH d AS (
   FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1}
+OP2 = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    md5('mix:' || doc_id) AS key FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+), l AS (
+  SELECT *, 3 * source_size AS cap,
+    (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight *
+    (SELECT min_by(level, cap / weight) FROM l WHERE level * weight <= cap)) AS target FROM l
+), r AS (
+  SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target,
+  CAST(size * coalesce(budget // source_size, 0) + greatest(0, least(size, budget % source_size - (upto - size))) AS BIGINT) AS taken
+FROM r"""
+
+OP10 = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+    unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS place FROM documents
+), lines AS (
+  SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM split
+), words AS (
+  SELECT doc_id, place, row_number() OVER w AS nth, line,
+    line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS win
+  FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), later AS (
+  SELECT doc_id, nth FROM (
+    SELECT doc_id, nth, row_number() OVER (PARTITION BY win ORDER BY doc_id, nth) AS k FROM words WHERE win IS NOT NULL
+  ) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT words.doc_id, words.place FROM words JOIN later
+    ON later.doc_id = words.doc_id AND words.nth BETWEEN later.nth AND later.nth + 2
+)
+SELECT s.doc_id, count(*) FILTER (s.line <> '') AS n_lines, count(g.place) AS n_removed,
+  sha256(coalesce(string_agg(s.raw, chr(10) ORDER BY s.place) FILTER (g.place IS NULL), '')) AS kept_sha256
+FROM lines s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place GROUP BY s.doc_id"""
+
+SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op10_line_dedup": OP10}
