@@ -15,6 +15,7 @@ from tallywork.llm import mixing as _mixing
 from tallywork.llm import pii as _pii
 from tallywork.llm import quality_rules as _quality
 from tallywork.llm import simhash as _simhash
+from tallywork.llm import toxicity as _toxicity
 from tallywork.llm.common import table
 from tallywork.session import ship_package
 
@@ -29,6 +30,12 @@ def op2_mixing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, path, "documents")
+    return _toxicity.score_documents(docs, _toxicity.train(docs, table(spark, path, "labels")))
+
+
 def op4_simhash(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     return _simhash.near_duplicates(table(spark, path, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -74,5 +81,5 @@ def op10_line_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_simhash, op6_pii, op7_bpe, op9_quality_rules, op10_line_dedup)
+    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op6_pii, op7_bpe, op9_quality_rules, op10_line_dedup)
 }
