@@ -15,6 +15,7 @@ from tallywork.llm import mixing as _mixing
 from tallywork.llm import pii as _pii
 from tallywork.llm import quality_rules as _quality
 from tallywork.llm import simhash as _simhash
+from tallywork.llm import suffix_tree_lm as _lm
 from tallywork.llm import toxicity as _toxicity
 from tallywork.llm.common import table
 from tallywork.session import ship_package
@@ -41,6 +42,12 @@ def op4_simhash(spark: SparkSession, path: str) -> DataFrame:
     return _simhash.near_duplicates(table(spark, path, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, path, "documents")
+    return _lm.score_documents(docs, *_lm.train(docs))
+
+
 def op6_pii(spark: SparkSession, path: str) -> DataFrame:
     found = _pii.pii_spans(table(spark, path, "documents"))
     base = [k.name for k in _pii.KINDS if k.base]
@@ -81,5 +88,5 @@ def op10_line_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op6_pii, op7_bpe, op9_quality_rules, op10_line_dedup)
+    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op5_lm_scoring, op6_pii, op7_bpe, op9_quality_rules, op10_line_dedup)
 }
