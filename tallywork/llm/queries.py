@@ -15,6 +15,7 @@ from tallywork.llm import mixing as _mixing
 from tallywork.llm import pii as _pii
 from tallywork.llm import quality_rules as _quality
 from tallywork.llm import simhash as _simhash
+from tallywork.llm import suffix_array as _suffixes
 from tallywork.llm import suffix_tree_lm as _lm
 from tallywork.llm import toxicity as _toxicity
 from tallywork.llm.common import table
@@ -74,6 +75,14 @@ def op7_bpe(spark: SparkSession, path: str, vocabulary: str | None = None) -> Da
     )
 
 
+def op8_suffix_array(spark: SparkSession, path: str) -> DataFrame:
+    ship_package(spark)
+    return _suffixes.suffix_dedup(table(spark, path, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     return _quality.quality_report(table(spark, path, "documents")).select(
@@ -88,5 +97,5 @@ def op10_line_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op5_lm_scoring, op6_pii, op7_bpe, op9_quality_rules, op10_line_dedup)
+    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op5_lm_scoring, op6_pii, op7_bpe, op8_suffix_array, op9_quality_rules, op10_line_dedup)
 }
