@@ -4,8 +4,8 @@ Symbols are the bytes of a text's words (A-Z lower-cased), one space after each
 counts every context of up to ``DEPTH`` bytes with its next symbol over all training documents. A context is
 kept if it makes up at least ``LEAST_SHARE`` of all positions and its next-symbol distribution
 diverges from that of its next shorter suffix by at least ``LEAST_GAIN`` nats a symbol of the corpus (its
-share times the Kullback-Leibler divergence). Both tests are relative, so they act alike at every size,
-and at most 1 / LEAST_SHARE contexts of each length can be kept: the size of the model is bounded.
+share times the Kullback-Leibler divergence), beyond the one nat that chance gives each of its symbols. Both
+tests are relative, so they act alike at every size, and at most 1 / LEAST_SHARE contexts of each length can be kept: the size of the model is bounded.
 
 Distributions are smoothed towards the suffix's (``WEIGHT`` pseudo-counts), the empty context's
 towards the uniform one, so every text has a probability. For scoring, the kept contexts become an automaton
@@ -13,6 +13,9 @@ over their beginnings, whose states know the longest kept suffix of what was rea
 a symbol depends on the last ``DEPTH`` symbols only, so long texts are cut into pieces that are walked
 side by side, each started that many symbols earlier.
 
+A word's probability is the mean of the tree's for its letters and of its smoothed count, the base: the tree knows
+how words are made, the count which words are there.
+
 The base score needs a count for every word. Words are told apart by 64-bit hashes. Those that make up at least
 ``HEAVY_SHARE`` of the training words are broadcast, at most 1 / HEAVY_SHARE of them; all others are joined.
 """
@@ -32,9 +35,10 @@ from tallywork.llm.common import named, store, text_of
 DEPTH = 6
 LEAST_SHARE = 5e-6
 LEAST_GAIN = 5e-7
-WEIGHT = 4.0
+WEIGHT = 15.0
 HEAVY_SHARE = 5e-7
 FOLDS, HELD_OUT = 7, 2
+LOG2_10, HALF = float(np.log2(10)), float(np.log10(2))
 BLOCK = 4_000_000
 PIECE = 256
 BUFFER = 4_000_000
@@ -246,9 +250,9 @@ def kept_contexts(followed: DataFrame, total: int) -> np.ndarray:
         )
         own = levels[depth].withColumn("suffix", F.col("context").bitwiseAND(F.lit(mask)))
         gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("m") / F.col("all"))))
-        passed = own.join(shorter, ["suffix", "symbol"]).groupBy("context").agg(gain.alias("gain")).filter(
-            F.col("gain") >= LEAST_GAIN * total
-        )
+        passed = own.join(shorter, ["suffix", "symbol"]).groupBy("context").agg(
+            (gain - F.count("*")).alias("gain")  # one nat for each number that the context adds
+        ).filter(F.col("gain") >= LEAST_GAIN * total)
         out.append(levels[depth].join(passed.select("context"), "context", "left_semi").select(
             F.lit(depth).alias("depth"), "context", "symbol", "n"
         ))
@@ -282,7 +286,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     return model, rare
 
 
-SCORED = "place bigint, n_tokens bigint, n_known bigint, heavy double, score double, rare array<bigint>"
+SCORED = "place bigint, n_tokens bigint, n_known bigint, heavy double, score double, rare array<bigint>, spelled array<float>"
 
 
 def _score_with(sent):
@@ -292,21 +296,24 @@ def _score_with(sent):
         for part, texts in _blocks(batches):
             x = symbols(texts)
             marks = np.flatnonzero(x == END)
-            walked = np.add.reduceat(model.walk(x), marks[:-1], dtype=np.float64)  # a text begins after a mark
             hashes, starts = word_hashes(x)
+            spelled = np.add.reduceat(model.walk(x), starts - 1, dtype=np.float64)  # with the space after the word
             text = np.searchsorted(marks, starts, side="left") - 1
             tokens = np.bincount(text, minlength=len(texts))
             at = np.searchsorted(model.words, hashes)
             at[at == len(model.words)] = 0
             found = model.words[at] == hashes if len(model.words) else np.zeros(len(hashes), bool)
+            base = logs[at[found]]
+            mixed = np.logaddexp2((base - model.norm) * LOG2_10, spelled[found] * LOG2_10) / LOG2_10 - HALF
             rare = np.bincount(text[~found], minlength=len(texts))
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"), "place": part.column("place"),
                 "n_tokens": pa.array(tokens),
                 "n_known": pa.array(np.bincount(text[found], minlength=len(texts))),
-                "heavy": pa.array(np.bincount(text[found], logs[at[found]], len(texts))),
-                "score": pa.array(walked),
+                "heavy": pa.array(np.bincount(text[found], base, len(texts)).astype(np.float64)),
+                "score": pa.array(np.bincount(text[found], mixed, len(texts)).astype(np.float64)),
                 "rare": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)].astype(np.int32)), pa.array(hashes[~found])),
+                "spelled": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)].astype(np.int32)), pa.array(spelled[~found].astype(np.float32))),
             })
 
     return score
@@ -326,13 +333,18 @@ def score_documents(docs: DataFrame, model: Model, rare: DataFrame, id_col: str
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = store(rows.mapInArrow(_score_with(sent), f"doc_id {kind}, {SCORED}"), "scored")
     looked_up = (
-        scored.select("place", F.explode("rare").alias("word")).join(rare, "word").groupBy("place")
-        .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("light"))
+        scored.select("place", F.explode(F.arrays_zip("rare", "spelled")).alias("w"))
+        .select("place", F.col("w.rare").alias("word"), F.col("w.spelled").cast("double").alias("spelled")).join(rare, "word", "left")
+        .select("place", "n", "spelled", F.log10(F.coalesce("n", F.lit(0)) + 1.0).alias("base"))
+        .select("place", "n", "base", F.log10(F.pow(F.lit(10.0), F.col("base") - model.norm) + F.pow(F.lit(10.0), "spelled")).alias("mixed"))
+        .groupBy("place").agg(
+            F.count("n").alias("more"), F.sum("base").alias("light"), F.sum(F.col("mixed") - HALF).alias("lighter")
+        )
     )
     n = F.lit(model.n).cast("long")
-    return scored.drop("rare").join(looked_up, "place", "left").select(
+    return scored.drop("rare", "spelled").join(looked_up, "place", "left").select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), n.alias("train_tokens"),
         (F.col("heavy") + F.coalesce("light", F.lit(0.0)) - F.col("n_tokens") * F.lit(model.norm)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("lighter", F.lit(0.0))).alias("score"),
     )
