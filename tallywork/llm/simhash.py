@@ -76,7 +76,7 @@ def _probes(half: int) -> Column:
     up = []
     for i in range(16):
         value = F.shiftrightunsigned(at, 2 * i).bitwiseAND(F.lit(3))
-        step = F.when(value == 0, F.lit(1)).when(value == 1, F.lit(2))
+        step = F.when(value == 0, F.lit(1)).when(value == 1, F.lit(2)).cast("long")
         up.append(F.struct(_cell(half, at.bitwiseOR(F.shiftleft(step, 2 * i))).alias("cell"), F.lit(True).alias("up")))
     return F.array(F.struct(_cell(half, at).alias("cell"), F.lit(False).alias("up")), *up)
 
