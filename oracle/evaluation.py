@@ -62,6 +62,15 @@ def query_score(task: str, sql: str, execution: str, static: bool) -> str:
       CAST({2 * len(sql.split())} AS BIGINT) AS token_cost, {execution} AS execution_score FROM n"""
 
 
+# Every question counts its rows; a division by zero fails if there is any row to divide; one task has no question.
+REPORT = " UNION ALL ".join([
+    *[f"SELECT '{k}' AS task_id, TRUE AS passed, COUNT(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM ({QUESTIONS[k]})" for k in SUITE],
+    """SELECT 'dividing', COUNT(*) = 0, CASE WHEN COUNT(*) = 0 THEN 0 END,
+      CASE WHEN COUNT(*) > 0 THEN 'DIVIDE_BY_ZERO' END FROM orders""",
+    "SELECT 'no_gold', FALSE, NULL, 'No gold SQL provided'",
+])
+
+
 SQL = {
     # What each answer must score, given how many regions it returns.
     "evaluate_query": f"""WITH {SALES}, n AS (SELECT COUNT(DISTINCT region) AS all_regions,
@@ -70,7 +79,11 @@ SQL = {
         query_score("filtered", GOLD.replace(" GROUP", " WHERE region <> 'ASIA' GROUP"),
                     "CAST(CASE WHEN kept = all_regions THEN 1 WHEN kept = 0 THEN 0 ELSE 0.6 END AS DOUBLE)", True),
         query_score("wider", "SELECT * FROM tallywork_sales", "CAST(0.5 AS DOUBLE)", False),
-        query_score("failing", GOLD, "CAST(0 AS DOUBLE)", True)]),
+        query_score("failing", GOLD, "CAST(0 AS DOUBLE)", True),
+        query_score("dividing", GOLD.replace("price", "price / (quantity - quantity)"), "CAST(0 AS DOUBLE)", True),
+        query_score("unnamed", "SELECT region, SUM(quantity * 1.5) FROM tallywork_sales GROUP BY region", "CAST(1 AS DOUBLE)", True),
+        query_score("twice", "SELECT region, region FROM tallywork_sales GROUP BY region", "CAST(1 AS DOUBLE)", True),
+        query_score("no_gold", GOLD, "CAST(0 AS DOUBLE)", True)]),
     "compare_results": f"""WITH {FACT}, m AS (SELECT order_month, region, {ORDERS} AS order_count, {REVENUE} AS revenue
         FROM fact GROUP BY 1, 2),
       n AS (SELECT * REPLACE (revenue + {OFF.format(by='month(order_month) % 3')} AS revenue) FROM m),
@@ -89,11 +102,10 @@ SQL = {
         kpi_task("kpi_003", ["customer_count IS NOT NULL", "coalesce(customer_count >= 0, FALSE)"]),
         kpi_task("kpi_004", ["gross_profit IS NOT NULL"]),
         kpi_task("kpi_005", ["TRUE"])]),
-    "suite_report": " UNION ALL ".join(
-        f"SELECT '{k}' AS task_id, TRUE AS passed, COUNT(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM ({QUESTIONS[k]})"
-        for k in SUITE),
-    "suite_summary": f"""SELECT CAST(10 AS BIGINT) AS total, CAST(10 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failed,
-      CAST(100 AS DOUBLE) AS pass_rate_pct""",
+    "suite_report": REPORT,
+    "suite_summary": f"""SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE passed) AS passed,
+      COUNT(*) FILTER (WHERE NOT passed) AS failed,
+      CAST(COUNT(*) FILTER (WHERE passed) AS DOUBLE) / COUNT(*) * 100 AS pass_rate_pct FROM ({REPORT})""",
     "approach_summary": f"""WITH {LOG}, {SUMMED}, b AS (SELECT * FROM summed WHERE approach = 'approach_0')
       SELECT s.*, round(s.accuracy_pct - b.accuracy_pct, 6) AS accuracy_delta,
         round((s.avg_tokens / NULLIF(b.avg_tokens, 0) - 1) * 100, 6) AS tokens_delta_pct FROM summed s, b""",

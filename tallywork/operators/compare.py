@@ -23,6 +23,20 @@ BLOCK_ROWS = 65536
 FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
+def _plain(side: DataFrame) -> DataFrame:
+    """The columns in the order of their names, renamed c0, c1 …: names may hold dots or repeat. Maps become sorted entries."""
+    order = sorted(range(len(side.columns)), key=lambda i: side.columns[i])
+    renamed = side.toDF(*[f"c{order.index(i)}" for i in range(len(order))])
+    return renamed.select(*[
+        F.array_sort(F.map_entries(f"c{i}")).alias(f"c{i}") if isinstance(renamed.schema[f"c{i}"].dataType, T.MapType) else f"c{i}"
+        for i in range(len(order))
+    ])
+
+
+def _same_names(got: DataFrame, want: DataFrame) -> bool:
+    return sorted(got.columns) == sorted(want.columns)
+
+
 def _family(data_type: T.DataType) -> str:
     if isinstance(data_type, T.NumericType):
         return "number"
@@ -70,7 +84,11 @@ def _same(left: Column, right: Column, left_type: T.DataType, right_type: T.Data
 
 def cell_matches(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """One row: ``got_rows, want_rows, matching`` cells, for tables of the same columns."""
-    columns = sorted(got.columns)
+    got, want = _plain(got), _plain(want)
+    columns = got.columns
+    if not columns:
+        return got.sparkSession.createDataFrame([(0, 0, 0)], "got_rows long, want_rows long, matching long")
+    columns = sorted(columns)
     runs = _runs(got, want)
     aligned = (
         F.lit(all(_comparable(got, want, c) for c in columns))
@@ -122,7 +140,7 @@ def cell_matches(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE)
 
 def cell_match_score(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Share of equal cells; 0 where the shapes differ or there are no cells."""
-    if set(got.columns) != set(want.columns):
+    if not _same_names(got, want):
         return got.sparkSession.createDataFrame([(0.0,)], "score double")
     width = F.lit(len(got.columns))
     cells = F.nullif(F.col("got_rows") * width, F.lit(0)).cast("double")
@@ -138,7 +156,7 @@ def compare_results(
     1.0 both empty; 0.0 one empty; 0.5 other column names; 0.6 other row count; else the
     share of equal cells.
     """
-    if set(got.columns) == set(want.columns):
+    if _same_names(got, want):
         counted = cell_matches(got, want, tolerance)
         cells = F.nullif(F.col("got_rows") * len(got.columns), F.lit(0)).cast("double")
         share = F.col("matching") / cells
@@ -173,7 +191,7 @@ def compare_results(
             F.lit(0.0).alias("score"), F.lit("One query returns empty, other doesn't").alias("message")))
         .otherwise(rest)
     )
-    differing = F.lit(set(got.columns) != set(want.columns)) & ~(no_got & no_want)
+    differing = F.lit(not _same_names(got, want)) & ~(no_got & no_want)
     return counted.select(outcome.alias("r"), differing.alias("d")).select(
         ((F.col("r.score") >= pass_share) & ~F.col("d")).alias("passed"), "r.score", "r.message"
     )

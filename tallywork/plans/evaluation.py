@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import lint, text
@@ -18,23 +20,34 @@ KPI_EXECUTION_WEIGHT, KPI_PROPERTY_WEIGHT = 0.6, 0.4
 CORRECT_ABOVE = 0.7
 PRICE_PER_TOKEN = 0.001 / 1000
 
+#: What a query may raise while it is planned or run.
+FAILURES = (PySparkException, Py4JJavaError)
+
 SECONDS = "decimal(18,6)"  # summed exactly, to the microsecond
 
 
+def _reason(error: Exception) -> str:
+    """The error's condition, without the text that varies."""
+    return (isinstance(error, PySparkException) and error.getCondition()) or type(error).__name__
+
+
 def evaluate_query(
     spark: SparkSession, task_id: str, generated_sql: str, gold_sql: str | None = None,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """One row for one generated query, run against the gold query on the session's views."""
-    outcome = None
-    message = "No gold SQL provided"
+    """One row for one generated query, run now against the gold query on the session's views.
+
+    Whatever the query raises, planned or running, scores 0 and leaves other tasks alone. The outcome of
+    a comparison is one row, so it is kept as a literal. ``latency`` is the time of the comparison in seconds.
+    """
+    row, began = (False, 0.0, "No gold SQL provided"), time.perf_counter()
     if gold_sql:
         try:
-            outcome = compare_results(spark.sql(generated_sql), spark.sql(gold_sql), tolerance)
-        except AnalysisException as error:
-            message = f"Execution error: {error.getCondition()}"
-    if outcome is None:
-        outcome = spark.createDataFrame([(False, 0.0, message)], "passed boolean, score double, message string")
+            row = tuple(compare_results(spark.sql(generated_sql), spark.sql(gold_sql), tolerance).first())
+        except FAILURES as error:
+            row = (False, 0.0, f"Execution error: {_reason(error)}")
+    row = (*row, time.perf_counter() - began)
+    outcome = spark.createDataFrame([row], "passed boolean, score double, message string, latency double")
     static_ok = F.size("static_issues") == 0
     static_share = F.when(static_ok, F.lit(1.0)).otherwise(F.lit(0.5))
     return (
@@ -46,7 +59,7 @@ def evaluate_query(
             (F.col("execution_score") * EXECUTION_WEIGHT + static_share * STATIC_WEIGHT).alias("score"),
             "execution_match",
             static_ok.alias("static_checks_passed"),
-            (text.word_count(F.lit(generated_sql)) * 2).alias("token_cost"),
+            (text.word_count(F.lit(generated_sql)) * 2).alias("token_cost"), "latency",
             "execution_score", "execution_message", "static_issues",
         )
     )
@@ -85,18 +98,21 @@ def kpi_properties(
 def evaluate_kpi(
     spark: SparkSession, task_id: str, measure: Callable[[], DataFrame], properties: Sequence[str]
 ) -> DataFrame:
-    """One row for one measure: 0.6 for running, 0.4 for the share of properties that hold."""
+    """One row for one measure: 0.6 for running, 0.4 for the share of properties that hold.
+
+    The measure runs now; whatever it raises counts as not run, with no property held.
+    """
+    counts, executed = (0, len(properties)), True
     try:
-        checked = kpi_properties(measure(), properties) if properties else None
-        if checked is None:
-            measure().schema  # resolves the plan
-        executed = True
-    except AnalysisException:
-        executed, checked = False, None
-    if checked is None:
-        held = spark.createDataFrame([(0, 0 if executed else len(properties))], "held long, total long")
-    else:
-        held = checked.agg(F.count_if("passed").alias("held"), F.count(F.lit(1)).alias("total"))
+        result = measure()
+        if properties:
+            held = kpi_properties(result, properties).agg(F.count_if("passed"), F.count(F.lit(1)))
+            counts = tuple(held.first())
+        else:
+            result.write.format("noop").mode("overwrite").save()
+    except FAILURES:
+        executed = False
+    held = spark.createDataFrame([counts], "held long, total long")
     share = F.col("held") / F.greatest(F.col("total"), F.lit(1)).cast("double")
     ran = F.lit(executed)
     return held.select(
@@ -108,23 +124,21 @@ def evaluate_kpi(
     )
 
 
-def suite_report(spark: SparkSession, tasks: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Row counts of all gold queries; one that cannot be planned is reported, not raised."""
-    reports = []
+def suite_report(spark: SparkSession, tasks: Mapping[str, Callable[[], DataFrame] | None]) -> DataFrame:
+    """Row counts of all gold queries, run now; one that fails, or a task without one, is reported, not raised."""
+    rows = []
     for task_id, run in tasks.items():
+        if run is None:
+            rows.append((task_id, False, None, "No gold SQL provided"))
+            continue
         try:
-            counted = run().agg(F.count(F.lit(1)).alias("rows"))
-            reports.append(counted.select(
-                F.lit(task_id).alias("task_id"), F.lit(True).alias("passed"), "rows",
-                F.lit(None).cast("string").alias("error"),
-            ))
-        except AnalysisException as error:
-            row = [(task_id, False, None, error.getCondition())]
-            reports.append(spark.createDataFrame(row, "task_id string, passed boolean, rows long, error string"))
-    report = reports[0]
-    for more in reports[1:]:
-        report = report.unionByName(more)
-    return report
+            # All columns are computed, not just the rows counted, so that an error anywhere shows.
+            observed = Observation()
+            run().observe(observed, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+            rows.append((task_id, True, observed.get["rows"], None))
+        except FAILURES as error:
+            rows.append((task_id, False, None, _reason(error)))
+    return spark.createDataFrame(rows, "task_id string, passed boolean, rows long, error string")
 
 
 def suite_summary(report: DataFrame) -> DataFrame:
@@ -155,11 +169,9 @@ def approach_summary(results: DataFrame, baseline: str) -> DataFrame:
         errors.alias("errors"),
         rounded(tokens * F.lit(PRICE_PER_TOKEN), 9).alias("total_cost"),
     )
-    # One row per approach by now, so that an unpartitioned window is a small one.
-    every = Window.partitionBy()
-    is_base = F.col("approach") == baseline
-    base_accuracy = F.max(F.when(is_base, F.col("accuracy_pct"))).over(every)
-    base_tokens = F.max(F.when(is_base, F.col("avg_tokens"))).over(every)
+    base = summed.filter(F.col("approach") == baseline)
+    base_accuracy = base.agg(F.max("accuracy_pct")).scalar()
+    base_tokens = base.agg(F.max("avg_tokens")).scalar()
     return summed.select(
         "*",
         rounded(F.col("accuracy_pct") - base_accuracy).alias("accuracy_delta"),

@@ -53,17 +53,23 @@ def cell_match_score(star: Star) -> DataFrame:
 
 @query()
 def evaluate_query(star: Star) -> DataFrame:
-    """Right, wrong, wider and failing answers to one question."""
+    """Answers of every kind: right, wrong, wider, not planned, failing while running, with odd or repeated names."""
     star.sales(["order_id", "region", "quantity", "price"]).createOrReplaceTempView("tallywork_sales")
     gold = "SELECT region, SUM(quantity * price) AS total_revenue FROM tallywork_sales GROUP BY region"
+    unnamed = "SELECT region, SUM(quantity * 1.5) FROM tallywork_sales GROUP BY region"
+    twice = "SELECT region, region FROM tallywork_sales GROUP BY region"
     answers = {
-        "right": gold + " ORDER BY region",
-        "filtered": gold.replace(" GROUP", " WHERE region <> 'ASIA' GROUP"),
-        "wider": "SELECT * FROM tallywork_sales",
-        "failing": gold.replace("price", "prize"),
+        "right": (gold + " ORDER BY region", gold),
+        "filtered": (gold.replace(" GROUP", " WHERE region <> 'ASIA' GROUP"), gold),
+        "wider": ("SELECT * FROM tallywork_sales", gold),
+        "failing": (gold.replace("price", "prize"), gold),
+        "dividing": (gold.replace("price", "price / (quantity - quantity)"), gold),
+        "unnamed": (unnamed, unnamed),
+        "twice": (twice, twice),
+        "no_gold": (gold, None),
     }
-    rows = [evaluation.evaluate_query(star.spark, task, sql, gold) for task, sql in answers.items()]
-    return reduce(DataFrame.unionByName, rows).drop("static_issues", "execution_message")
+    rows = [evaluation.evaluate_query(star.spark, task, *pair) for task, pair in answers.items()]
+    return reduce(DataFrame.unionByName, rows).drop("static_issues", "execution_message", "latency")
 
 
 @query()
@@ -89,9 +95,11 @@ def evaluate_kpi(star: Star) -> DataFrame:
 
 
 def _suite(star: Star) -> DataFrame:
-    return evaluation.suite_report(
-        star.spark, {name: lambda name=name: getattr(benchmark, name)(star) for name in SUITE}
-    )
+    def dividing() -> DataFrame:
+        return star.table("orders").select(F.expr("1 / (o_custkey - o_custkey)"))
+
+    tasks = {name: lambda name=name: getattr(benchmark, name)(star) for name in SUITE}
+    return evaluation.suite_report(star.spark, {**tasks, "dividing": dividing, "no_gold": None})
 
 
 @query()
