@@ -5,13 +5,14 @@ from oracle.common import FACT, MEAN_REVENUE, ORDERS, REVENUE
 SQL = {
     "revenue_by_region": f"""WITH {FACT} SELECT region, {REVENUE} AS total_revenue FROM fact GROUP BY 1
       ORDER BY 2 DESC NULLS LAST, 1""",
-    "orders_by_segment": f"WITH {FACT} SELECT customer_segment, {ORDERS} AS order_count FROM fact GROUP BY 1",
-    "top10_customers": f"""WITH {FACT} SELECT customer_id, customer_name, {REVENUE} AS revenue FROM fact GROUP BY 1, 2
-      ORDER BY revenue DESC NULLS LAST, customer_id LIMIT 10""",
+    "orders_by_segment": f"""WITH {FACT} SELECT customer_segment, {ORDERS} AS order_count FROM fact
+      JOIN customer ON c_custkey = customer_id GROUP BY 1""",
+    "top10_customers": f"""WITH {FACT} SELECT customer_id, customer_name, {REVENUE} AS revenue FROM fact
+      JOIN customer ON c_custkey = customer_id GROUP BY 1, 2 ORDER BY revenue DESC NULLS LAST, customer_id LIMIT 10""",
     "monthly_revenue_year": f"""WITH {FACT} SELECT order_month, {REVENUE} AS revenue FROM fact
       WHERE extract(year FROM order_date) = 2000 GROUP BY 1 ORDER BY 1""",
     "avg_value_by_category": f"""WITH {FACT} SELECT product_category, {MEAN_REVENUE} AS avg_order_value
-      FROM fact GROUP BY 1""",
+      FROM fact JOIN part ON p_partkey = product_id GROUP BY 1""",
     "customers_gt5_orders": f"""WITH {FACT} SELECT customer_id, customer_name, COUNT(order_id) AS order_count FROM fact
       GROUP BY 1, 2 HAVING COUNT(order_id) > 5 ORDER BY 3 DESC, 1""",
     "revenue_per_customer_by_state": f"""WITH {FACT} SELECT customer_state, COUNT(DISTINCT customer_id) AS customer_count,

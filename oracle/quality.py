@@ -51,7 +51,7 @@ SUITE = " UNION ALL ".join(
     + [unique(t, c) for t, c in KEYS.items()]
     + [foreign(*f) for f in FOREIGN]
 )
-LABELLED = "(SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+LABELLED = "(SELECT d.doc_id, text, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 SQL = {
     "dq_not_null": " UNION ALL ".join([
@@ -72,7 +72,7 @@ SQL = {
       CAST(COUNT(*) FILTER (WHERE passed) AS DOUBLE) / COUNT(*) AS pass_rate FROM ({SUITE})""",
     "coverage_check": " UNION ALL ".join(
         f"SELECT name, passed, message FROM ({not_null(LABELLED, 'labelled', c, 0.9)})"
-        for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic"))
+        for c in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"))
     + f""" UNION ALL SELECT 'row_limit_labelled', COUNT(*) <= 1000000, COUNT(*) || ' rows (limit: 1000000)'
       FROM {LABELLED}""",
 }

@@ -48,7 +48,7 @@ SQL = {
       round(stddev_pop(weighted_score), 6) AS std_weighted_score,
       {', '.join(f'round(max({o}_score), 6) AS best_{o}, round(avg({o}_score), 6) AS mean_{o}' for o in OBJECTIVES)}
       FROM scored GROUP BY 1""",
-    "elites": f"""WITH {SCORED} SELECT generation, CAST(rank AS INT) AS rank, trial_id, round(weighted_score, 6) AS weighted_score FROM (
+    "elites": f"""WITH {SCORED} SELECT generation, CAST(rank AS BIGINT) AS rank, trial_id, round(weighted_score, 6) AS weighted_score FROM (
       SELECT *, row_number() OVER (PARTITION BY generation ORDER BY weighted_score DESC, trial_id) AS rank FROM scored)
       WHERE rank <= 4""",
     "best_trial": f"WITH {SCORED} SELECT {shown('weighted_score')} FROM scored ORDER BY scored.weighted_score DESC, trial_id LIMIT 1",

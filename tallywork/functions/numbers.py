@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Money has two decimals; a value with more of them (beyond DOUBLE noise) is an error, never cut.
 MONEY = "decimal(12,2)"
+NOISE = 1e-4  # of a cent
+FINER = "a money value has more than two decimals"
 
 
 def as_money(value: Column) -> Column:
-    """Two-decimal fixed point, so that sums do not depend on the order of addition."""
-    return value.cast(MONEY)
+    """Two-decimal fixed point, so that sums do not depend on the order of addition; raises on finer values."""
+    cents = value.cast("double") * 100
+    return F.when(F.abs(cents - F.round(cents)) > NOISE, F.raise_error(F.lit(FINER)).cast(MONEY)).otherwise(value.cast(MONEY))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -34,7 +38,10 @@ def money_sql(column: str) -> str:
 
 def cents_sql(column: str) -> str:
     """SQL for a two-decimal DOUBLE column as whole cents."""
-    return f"CAST(FLOOR({column} * 100 + 0.5D) AS BIGINT)"
+    return (
+        f"CASE WHEN ABS({column} * 100 - FLOOR({column} * 100 + 0.5D)) > {NOISE}D "
+        f"THEN CAST(RAISE_ERROR('{FINER}') AS BIGINT) ELSE CAST(FLOOR({column} * 100 + 0.5D) AS BIGINT) END"
+    )
 
 
 def decimal_cents(column: str) -> str:

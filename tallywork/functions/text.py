@@ -24,12 +24,20 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"[!-~[^{SPACE}]]+")).cast("long")
 
 
-def content_key(name: Column, text: Column) -> Column:
-    """First 32 bits of the MD5 of ``name:text``, as a number."""
-    digest = F.md5(F.concat(name, F.lit(":"), text))
+def content_digest(name: Column, text: Column) -> Column:
+    """MD5 of ``name:text``."""
+    return F.md5(F.concat(name, F.lit(":"), text))
+
+
+def digest_key(digest: Column) -> Column:
+    """First 32 bits of a digest, as a number."""
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def content_key(name: Column, text: Column) -> Column:
+    return digest_key(content_digest(name, text))
+
+
 def fenced_sql(answer: Column) -> Column:
     """The first ``sql`` block of a Markdown answer, else its first block, else all of it."""
     fence = "```"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.operators.globalorder import with_position
+from tallywork.operators.globalorder import running_total
 
 # Split shares in percent, budgets and the share at which they alert.
 SPLIT = (("train", 70), ("val", 15), ("test", 15))
@@ -52,18 +52,24 @@ def budget_check(
 
 
 def latency_distribution(
-    results: DataFrame, by: str, value: str, key: str, percents: Sequence[int] = (50, 90, 95, 99)
+    results: DataFrame, by: str, value: str, percents: Sequence[int] = (50, 90, 95, 99)
 ) -> DataFrame:
     """Exact percentiles per group: the value at position ⌈n·p/100⌉ of the sorted group.
 
-    Positions come from the distributed global order; no group is gathered anywhere.
+    Equal values are counted first; the running count over the distinct values, in the distributed global
+    order, tells which value fills a position. No group is gathered anywhere; NULL is a group.
     """
-    placed = with_position(results.select(by, value, key), [F.col(value), F.col(key)], "position", [by])
-    sizes = results.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    wanted = sizes.select(
-        by, F.explode(F.array(*[F.lit(p) for p in percents])).alias("percentile"), "n"
-    ).withColumn("position", F.ceil(F.col("n") * F.col("percentile") / 100).cast("long"))
-    return placed.join(wanted, [by, "position"], "inner").select(by, "percentile", F.col(value).alias("latency"))
+    counted = results.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(counted, [F.col(value)], F.col("n"), "upto", [by])
+    sizes = placed.groupBy(F.col(by).alias("of")).agg(F.sum("n").alias("total"))
+    wanted = F.array(*[
+        F.struct(F.lit(p).alias("percentile"), F.ceil(F.col("total") * p / 100).cast("long").alias("position"))
+        for p in percents
+    ])
+    filled = F.filter(wanted, lambda w: w["position"].between(F.col("upto") - F.col("n") + 1, F.col("upto")))
+    return placed.join(sizes, F.col(by).eqNullSafe(F.col("of"))).select(by, value, F.explode(filled).alias("w")).select(
+        by, "w.percentile", F.col(value).alias("latency")
+    )
 
 
 def error_taxonomy(traces: DataFrame, by: Sequence[str]) -> DataFrame:

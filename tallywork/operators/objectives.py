@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.numbers import rounded
@@ -37,7 +37,6 @@ DEFAULT_OBJECTIVES = (
     Objective("latency", 0.1, inverse=True),
 )
 FLAT_RANGE = 1e-9
-GROUP_LIMIT = 1000  # Spark's default for pruning ranked groups before the exchange
 
 
 def score_column(name: str) -> str:
@@ -120,18 +119,11 @@ def elites(
 ) -> DataFrame:
     """Per generation the best max(1, population_size // 4) trials (all, if there are fewer).
 
-    A small literal rank bound lets Spark keep only each task's best rows before the
-    exchange, so a large generation does not travel. Above the bound that Spark does this
-    for, ranks come from the distributed order instead.
+    Ranks come from the distributed order, for any size: no generation is gathered in one task.
     """
     kept = max(1, population_size // 4)
     best_first = [F.col("weighted_score").desc_nulls_last(), F.col(key)]
-    if kept <= GROUP_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(generation).orderBy(*best_first))
-        ranked = trials.withColumn("rank", rank)
-    else:
-        ranked = with_position(trials, best_first, "rank", [generation])
-    return ranked.filter(F.col("rank") <= kept)
+    return with_position(trials, best_first, "rank", [generation]).filter(F.col("rank") <= kept)
 
 
 def best_trial(trials: DataFrame, key: str) -> DataFrame:

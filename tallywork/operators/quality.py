@@ -1,6 +1,6 @@
 """Data-quality expectations; every check yields a row ``name, passed, message, details``.
 
-All column checks of one table run in a single aggregation.
+All column checks of one table run in a single aggregation, but for uniqueness, which takes a distinct each.
 """
 
 from __future__ import annotations
@@ -26,9 +26,17 @@ class NotNull:
 
 @dataclass(frozen=True)
 class Unique:
-    """As many distinct non-null values as rows, so NULLs count as duplicates."""
+    """As many distinct non-null values as rows, so NULLs count as duplicates.
+
+    With ``more`` columns the values of all together must be distinct, as for a composite key.
+    """
 
     column: str
+    more: tuple[str, ...] = ()
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (self.column, *self.more)
 
 
 @dataclass(frozen=True)
@@ -73,11 +81,11 @@ def _plan(table: str, check: Check, i: int) -> tuple[list[Column], Column]:
         row = _result(f"not_null_{table}.{check.column}", share >= check.threshold, message, details)
         return [F.count(value).alias(f"c{i}")], row
     if isinstance(check, Unique):
-        unique = F.col(f"c{i}")
-        message = F.format_string(f"{check.column}: %d unique of %d total", unique, total)
+        unique, name = F.col(f"c{i}"), ", ".join(check.columns)
+        message = F.format_string(f"{name}: %d unique of %d total", unique, total)
         details = {"total": total, "unique": unique, "duplicates": total - unique}
-        row = _result(f"unique_{table}.{check.column}", unique == total, message, details)
-        return [F.count_distinct(value).alias(f"c{i}")], row
+        row = _result(f"unique_{table}.{name}", unique == total, message, details)
+        return [], row
     bounds = []
     if check.min is not None:
         bounds.append(value >= check.min)
@@ -103,6 +111,11 @@ def run_checks(table: str, df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     plans = [_plan(table, check, i) for i, check in enumerate(checks)]
     aggregates = [a for needed, _ in plans for a in needed]
     counted = df.agg(F.count(F.lit(1)).alias("total_rows"), *aggregates)
+    # One plain distinct per unique check: several in one aggregation would repeat every row.
+    for i, check in enumerate(checks):
+        if isinstance(check, Unique):
+            distinct = df.select(*check.columns).dropna().distinct().agg(F.count(F.lit(1)))
+            counted = counted.withColumn(f"c{i}", distinct.scalar())
     rows = F.explode(F.array(*[row for _, row in plans]))
     return counted.select(rows.alias("r")).select("r.*")
 
@@ -137,7 +150,10 @@ def suite_from_schema(
     """Primary keys must be complete and unique, foreign keys must resolve."""
     reports = []
     for name in tables or registry.tables:
-        checks = [c for k in registry.primary_keys(name) for c in (NotNull(k), Unique(k))]
+        keys = registry.primary_keys(name)
+        checks = [NotNull(k) for k in keys]
+        if keys:
+            checks.insert(1, Unique(keys[0], tuple(keys[1:])))
         if checks:
             reports.append(run_checks(name, table(name), checks))
         for column, target in registry.foreign_keys(name).items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywork.functions import lint, text
@@ -19,11 +19,13 @@ def lint_report(
     """Count and share of queries per issue; the issue NULL counts the clean ones."""
     checked = queries.select(*by, issues(F.col(sql)).alias("issues"))
     totals = checked.groupBy(*by, "issues").agg(F.count(F.lit(1)).alias("n"))
+    # one row per set of issues by now; a window keeps groups that are NULL
+    of_total = F.sum("n").over(Window.partitionBy(*by))
     return (
-        totals.select(*by, F.explode_outer("issues").alias("issue"), "n")
+        totals.select(*by, "issues", "n", of_total.alias("of_total"))
+        .select(*by, F.explode_outer("issues").alias("issue"), "n", "of_total")
         .groupBy(*by, "issue")
-        .agg(F.sum("n").alias("queries"))
-        .join(totals.groupBy(*by).agg(F.sum("n").alias("of_total")), list(by), "inner")
+        .agg(F.sum("n").alias("queries"), F.max("of_total").alias("of_total"))
         .select(*by, "issue", "queries", rounded(ratio(F.col("queries"), F.col("of_total"))).alias("share"))
     )
 
@@ -174,13 +176,16 @@ def prompt_by_type(
 
 
 def duplicate_components(components: DataFrame, name: str, content: str) -> DataFrame:
-    """Content keys shared by several components. Only the keys travel, never the texts."""
-    key = text.content_key(F.col(name), F.col(content))
+    """Contents shared by several components, found by their whole digest and shown by its first 32 bits.
+
+    Only the digests travel, never the texts.
+    """
     return (
-        components.select(key.alias("content_key"))
-        .groupBy("content_key")
+        components.select(text.content_digest(F.col(name), F.col(content)).alias("digest"))
+        .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
+        .select(text.digest_key(F.col("digest")).alias("content_key"), "copies")
     )
 
 

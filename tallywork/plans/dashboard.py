@@ -12,27 +12,44 @@ from tallywork.functions.numbers import exact_sum, ratio, total
 from tallywork.operators import orderfacts as of
 from tallywork.operators.globalorder import running_total
 
-# The selectable windows in days; the last stands for "all time".
-WINDOWS = (7, 30, 90, 10000)
+# The selectable windows in days, None for all time, which is shown as ALL_TIME days.
+WINDOWS = (7, 30, 90, None)
+ALL_TIME = 10000
 TREND_DAYS = 90
 
 
-def kpi_cards(orders: DataFrame, as_of: dt.date, windows: Sequence[int] = WINDOWS) -> DataFrame:
+def kpi_cards(orders: DataFrame, as_of: dt.date, windows: Sequence[int | None] = WINDOWS) -> DataFrame:
     """Headline figures per window, all windows in one pass over the orders.
 
-    ``orders``: order facts with ``order_date``. Each order counts in every window that
-    reaches back to it.
+    ``orders``: order facts with ``order_date``. An order belongs to the narrowest window that reaches back to it,
+    and a customer to that of the latest order; wider windows add these parts up. So no row is repeated, and
+    customers are counted without a distinct. A window without orders has no row.
     """
     age = F.datediff(F.lit(as_of), F.col("order_date"))
-    reaching = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: age <= w)
+    ordered = sorted(windows, key=lambda w: (w is None, w))
+    step = F.coalesce(*[F.when(age <= w, F.lit(i)) if w is not None else F.lit(i) for i, w in enumerate(ordered)])
+    sums = ("revenue_hi", "revenue_lo", "gross_profit_hi", "gross_profit_lo", "margin_sum", "margin_rows")
+    per_customer = orders.select("*", step.alias("step")).filter("step is not null").groupBy("customer_id", "step").agg(
+        F.count("order_id").alias("orders"), *[F.sum(c).alias(c) for c in sums]
+    )
+    latest = per_customer.groupBy("customer_id").agg(
+        F.min("step").alias("first"),
+        F.collect_list(F.struct("step", "orders", *sums)).alias("parts"),  # one per window at most
+    )
+    parts = latest.select(
+        (F.col("customer_id").isNotNull()).cast("int").alias("known"), "first", F.explode("parts").alias("p")
+    ).select(
+        F.when(F.col("p.step") == F.col("first"), F.col("known")).otherwise(F.lit(0)).alias("customers"), "p.*"
+    ).groupBy("step").agg(F.sum("customers").alias("customers"), F.sum("orders").alias("orders"), *[F.sum(c).alias(c) for c in sums])
+    shown = F.array(*[F.struct(F.lit(i).alias("upto"), F.lit(ALL_TIME if w is None else w).alias("days")) for i, w in enumerate(ordered)])
+    reached = parts.select("*", F.explode(F.filter(shown, lambda w: w["upto"] >= F.col("step"))).alias("w"))
     return (
-        orders.withColumn("days", F.explode(reaching))
-        .groupBy("days")
+        reached.groupBy(F.col("w.days").alias("days"))
         .agg(
             of.revenue().alias("total_revenue"),
-            of.order_count().alias("total_orders"),
-            of.customer_count().alias("total_customers"),
-            of.revenue_per(of.order_count()).alias("aov"),
+            F.sum("orders").alias("total_orders"),
+            F.sum("customers").alias("total_customers"),
+            of.revenue_per(F.sum("orders")).alias("aov"),
             of.profit().alias("total_profit"),
             of.mean_margin().alias("avg_margin"),
         )
@@ -96,19 +113,25 @@ def mom_growth(monthly: DataFrame) -> DataFrame:
 
 
 def top_products(orders: DataFrame, n: int = 15) -> DataFrame:
-    """``orders``: order facts at ``["product_name"]``."""
-    return (
+    """``orders``: order facts at ``["product_name"]``. Customers are counted for the ``n`` best products only."""
+    best_first = [F.col("total_revenue").desc_nulls_last(), F.col("product_name")]
+    best = (
         orders.groupBy("product_name")
         .agg(
             of.revenue().alias("total_revenue"),
             of.quantity().alias("total_quantity"),
             of.profit().alias("total_profit"),
             of.mean_margin().alias("avg_margin"),
-            of.customer_count().alias("unique_customers"),
         )
-        .orderBy(F.col("total_revenue").desc_nulls_last(), "product_name")
+        .orderBy(*best_first)
         .limit(n)
     )
+    # ``n`` rows are broadcast
+    shown = best.select(F.col("product_name").alias("shown"))
+    buyers = orders.join(F.broadcast(shown), F.col("product_name").eqNullSafe(F.col("shown")), "left_semi").groupBy(
+        F.col("product_name").alias("of")
+    ).agg(of.customer_count().alias("unique_customers"))
+    return best.join(buyers, F.col("product_name").eqNullSafe(F.col("of")), "left").drop("of").orderBy(*best_first)
 
 
 def top_customers(orders: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:

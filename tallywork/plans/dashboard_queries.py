@@ -17,9 +17,6 @@ from tallywork.plans.registry import query
 from tallywork.session import materialise
 from tallywork.sources.star import Star
 
-FULL_HISTORY = 10000
-
-
 def _window(star: Star, days: int) -> dt.date:
     return window_start(star.as_of(), days)
 
@@ -111,9 +108,9 @@ def pareto_curve(star: Star) -> DataFrame:
     )
 
 
-def _daily(star: Star, days: int) -> DataFrame:
-    """Daily metrics, computed once: the scoring below reads them several times."""
-    since = _window(star, days) if days < FULL_HISTORY else None
+def _daily(star: Star, days: int | None) -> DataFrame:
+    """Daily metrics (``days`` None: all), computed once: the scoring below reads them several times."""
+    since = None if days is None else _window(star, days)
     return materialise(
         order_facts(star, ["order_date"], ["revenue"], since=since).groupBy("order_date").agg(
             of.revenue().alias("daily_revenue"),
@@ -170,7 +167,7 @@ def order_anomalies(star: Star) -> DataFrame:
     return _flat(_order_anomalies(_daily(star, 90)))
 
 
-def _all_anomalies(star: Star, days: int = FULL_HISTORY) -> DataFrame:
+def _all_anomalies(star: Star, days: int | None = None) -> DataFrame:
     daily = _daily(star, days)
     return anomaly.all_anomalies(_revenue_anomalies(daily), _order_anomalies(daily))
 

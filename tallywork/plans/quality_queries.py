@@ -67,7 +67,7 @@ def dq_summary(star: Star) -> DataFrame:
 @query()
 def coverage_check(star: Star) -> DataFrame:
     """Every column of the labelled documents at least 90 % filled, and a row budget."""
-    labelled = star.table("documents").drop("text").join(star.table("labels"), "doc_id", "left")
+    labelled = star.table("documents").join(star.table("labels"), "doc_id", "left")
     checks = [q.NotNull(c, 0.9) for c in labelled.columns]
     report = q.run_checks("labelled", labelled, checks)
     return report.unionByName(q.row_limit("labelled", labelled, 1000000)).select("name", "passed", "message")

@@ -120,7 +120,7 @@ def budget_check(star: Star) -> DataFrame:
 
 @query()
 def latency_distribution(star: Star) -> DataFrame:
-    found = configured.latency_distribution(query_log(star), "approach", "latency", "task_id")
+    found = configured.latency_distribution(query_log(star), "approach", "latency")
     return found.withColumn("latency", rounded(F.col("latency")))
 
 

@@ -50,6 +50,6 @@ def test_lines_are_exchanged_once_for_monthly_figures(spark):
     assert lines.count("Exchange") == 1
 
 
-def test_elites_are_pruned_before_the_exchange(spark):
+def test_elites_are_ranked_without_a_window_per_generation(spark):
     text = plan(spark, "elites", "10MB")
-    assert text.count("WindowGroupLimit") == 2
+    assert "row_number" not in text  # ranks are running counts within range partitions
