@@ -75,7 +75,7 @@ def evaluate_query(star: Star) -> DataFrame:
 @query()
 def kpi_properties(star: Star) -> DataFrame:
     spec = KPIS["gross_profit"]
-    result = kpis.kpi_at_grain(star.sales([*spec.grain, *spec.inputs]), spec).select("gross_profit")
+    result = kpis.kpis_over_facts(star, [spec], spec.grain).select("gross_profit")
     properties = ["positive", "not_null", "range", "other"]
     loose = evaluation.kpi_properties(result, properties)
     strict = evaluation.kpi_properties(result, ["range"], bounds=(0.0, 1e6))
@@ -85,7 +85,7 @@ def kpi_properties(star: Star) -> DataFrame:
 @query()
 def evaluate_kpi(star: Star) -> DataFrame:
     def measure(key: str) -> DataFrame:
-        return kpis.kpi_at_grain(star.sales(KPIS[key].inputs), KPIS[key], [])
+        return kpis.kpis_over_facts(star, [KPIS[key]], [])
 
     rows = [
         evaluation.evaluate_kpi(star.spark, task, lambda key=key: measure(key), properties)

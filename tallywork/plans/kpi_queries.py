@@ -15,9 +15,7 @@ from tallywork.sources.star import Star
 
 
 def _kpi(star: Star, spec: KpiSpec, grain=None) -> DataFrame:
-    grain = spec.grain if grain is None else grain
-    sales = star.sales([*grain, *spec.inputs])
-    return kpis.kpi_at_grain(sales, spec, grain)
+    return kpis.kpis_over_facts(star, [spec], spec.grain if grain is None else grain)
 
 
 for _spec in KPIS.values():
@@ -49,8 +47,6 @@ def kpi_tests(star: Star) -> DataFrame:
         by_grain.setdefault(spec.grain, []).append(spec)
     report = None
     for grain, specs in by_grain.items():
-        inputs = dict.fromkeys(c for spec in specs for c in spec.inputs)
-        results = kpis.kpis_at_grain(star.sales([*grain, *inputs]), specs, grain)
-        tested = kpis.kpi_tests(results, specs)
+        tested = kpis.kpi_tests(kpis.kpis_over_facts(star, specs, grain), specs)
         report = tested if report is None else report.unionByName(tested)
     return report

@@ -9,6 +9,7 @@ QUERIES = all_queries()
 LAZY = (
     "fct_kpis_monthly", "fct_revenue_daily", "fct_product_performance", "fct_customer_cohorts", "dim_customer",
     "kpi_cards", "top_customers", "customers_gt5_orders", "orders_without_lines", "dq_foreign_key",
+    "kpi_revenue", "kpi_aov", "kpi_revenue_per_customer", "kpi_tests", "dq_unique", "top10_customers", "orders_by_segment",
     "objective_scores", "generation_stats", "approach_summary", "column_outliers", "lint_report", "table_usage",
 )
 
