@@ -1,11 +1,9 @@
 """Pareto frontier of a table of score vectors, exact at any size.
 
-Equal vectors collapse first. Every partition then drops rows dominated within itself.
-What is left is settled in rounds: in the order of (sum, then each score) descending a row
-can only be dominated by an earlier one, so the first ``ROUND_ROWS`` rows can be settled
-among themselves, and the frontier found in them removes what it dominates from the rest.
-A round handles a bounded number of rows on the driver and broadcasts at most as many;
-frontiers larger than that take more rounds, not more memory.
+Equal vectors collapse first. Every partition then drops rows dominated within itself. What is left is put in the
+order of (sum, then each score), descending: a row can only be dominated by an earlier one. The order is cut into blocks
+of ``BLOCK_ROWS`` positions, and each block is held against itself and every earlier block, one task per
+pair of blocks. A task sees two blocks at most and returns only dominated rows; no row passes through the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.operators.globalorder import with_position
 from tallywork.session import materialise, ship_package
 
-ROUND_ROWS = 8192
+BLOCK_ROWS = 8192
 WINDOW_ROWS = 256
 SLICE = 1024
 
@@ -66,17 +65,17 @@ def _drop_local(objectives: list[str]):
     return run
 
 
-def _drop_dominated(objectives: list[str], front: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), SLICE):
-                part = batch.iloc[start:start + SLICE]
-                yield part[~dominated_by(part[objectives].to_numpy(float), front)]
+def _dominated_own(objectives: list[str]):
+    """Of one pair of blocks: the rows of the first that some row of the second dominates."""
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        own, others = pair[pair["__own"]][objectives], pair[~pair["__own"]][objectives]
+        return own[dominated_by(own.to_numpy(float), others.to_numpy(float))]
 
     return run
 
 
-def pareto_frontier(df: DataFrame, objectives: Sequence[str], round_rows: int = ROUND_ROWS) -> DataFrame:
+def pareto_frontier(df: DataFrame, objectives: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of ``df`` that no other row dominates (larger is better, NULL counts as 0).
 
     Rows with equal vectors all stay.
@@ -86,22 +85,21 @@ def pareto_frontier(df: DataFrame, objectives: Sequence[str], round_rows: int =
     scores = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names}
     vectors = df.select(*[s.alias(c) for c, s in scores.items()]).distinct()
     vectors = vectors.withColumn("__sum", reduce(Column.__add__, [F.col(c) for c in names]))
+    local = vectors.mapInPandas(_drop_local(names), vectors.schema)
     order = [F.col(c).desc() for c in ("__sum", *names)]
-    schema = vectors.schema
-    rest = materialise(vectors.mapInPandas(_drop_local(names), schema))
-    fronts = []
-    while True:
-        head = rest.orderBy(*order).limit(round_rows).toPandas()
-        front = head[frontier_of(head[names].to_numpy(float))] if len(head) else head
-        settled = spark.createDataFrame(front, schema)
-        if len(head) < round_rows:
-            fronts.append(settled)
-            break
-        fronts.append(materialise(settled))
-        last = F.struct(*[F.lit(float(head[c].iloc[-1])) for c in ("__sum", *names)])
-        later = rest.filter(F.struct("__sum", *names) < last)
-        rest = materialise(later.mapInPandas(_drop_dominated(names, front[names].to_numpy(float)), schema))
-    frontier = reduce(DataFrame.unionByName, fronts).select(*[F.col(c).alias(f"__f_{c}") for c in names])
+    block = F.floor((F.col("__position") - 1) / block_rows)
+    placed = materialise(with_position(local, order, "__position").select(*names, block.alias("__block")))
+    last = placed.agg(F.max("__block")).first()[0] or 0
+    pairs = placed.select(
+        *names, F.col("__block").alias("__i"), F.explode(F.sequence(F.lit(0), F.col("__block"))).alias("__j"),
+        F.lit(True).alias("__own"),
+    ).unionByName(placed.select(
+        *names, F.col("__block").alias("__j"), F.explode(F.sequence(F.col("__block"), F.lit(last))).alias("__i"),
+        F.lit(False).alias("__own"),
+    ))
+    schema = ", ".join(f"`{c}` double" for c in names)
+    dominated = pairs.groupBy("__i", "__j").applyInPandas(_dominated_own(names), schema).distinct()
+    frontier = placed.join(dominated, names, "left_anti").select(*[F.col(c).alias(f"__f_{c}") for c in names])
     matching = reduce(Column.__and__, [scores[c] == F.col(f"__f_{c}") for c in names])
     return df.join(frontier, matching, "left_semi")
 
