@@ -5,6 +5,8 @@ The sink queries write a whole table to the shared folder and return what a scan
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,18 +82,43 @@ def extract_all(star: Star) -> DataFrame:
     return extract(star.spark, datasets)[1]
 
 
-@query()
-def build_marts(star: Star) -> DataFrame:
+def _build(star: Star, out: str) -> DataFrame:
     attributes = ["customer_name", "customer_segment", "customer_state"]
     customers = (
         star.customers(attributes)
         .join(star.signups(), "customer_id", "left")
         .withColumnsRenamed({"customer_segment": "segment", "customer_state": "state"})
     )
-    out = new_folder(star.spark, "marts")
     return build(star.sales(marts.FACT_COLUMNS), customers, star.products(), star.as_of(), out)
 
 
+@query()
+def build_marts(star: Star) -> DataFrame:
+    return _build(star, new_folder(star.spark, "marts"))
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _written(star: Star, name: str) -> DataFrame:
+    """A mart as the build wrote it; one build per application and source serves all marts."""
+    key = (star.spark.sparkContext.applicationId, star.path)
+    if key not in _BUILT:
+        out = new_folder(star.spark, "marts")
+        _build(star, out)
+        _BUILT[key] = out
+    df = star.spark.read.parquet(f"{_BUILT[key]}/{name}")
+    # shown like the marts themselves: money as DOUBLE; a folder's number is read as INT
+    shown = {c: "double" for c, kind in df.dtypes if kind.startswith("decimal")} | ({"year": "long"} if "year" in df.columns else {})
+    return df.withColumns({c: F.col(c).cast(kind) for c, kind in shown.items()})
+
+
+for _name in (
+    "fact_orders", "dim_customer", "fct_revenue_daily", "fct_kpis_monthly", "fct_product_performance", "fct_customer_cohorts",
+):
+    query(f"written_{_name}")(partial(_written, name=_name))
+
+
 @query()
 def catalog_audit(star: Star) -> DataFrame:
     return io.catalog_audit({name: star.table(name) for name in STAR.tables})

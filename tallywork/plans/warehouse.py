@@ -22,25 +22,37 @@ def _condition(error: Exception) -> str:
     return (named() if named else None) or str(error).splitlines()[0]
 
 
-def _counted(tables: Mapping[str, DataFrame], verify: bool) -> dict[str, int]:
-    """Row counts; ``verify`` also folds a hash over all columns, so that every value is parsed."""
-    counts = []
-    for name, df in tables.items():
-        touched = F.bit_xor(F.xxhash64(*df.columns)) if verify else F.lit(0)
-        counted = df.agg(F.count(F.lit(1)).alias("n"), touched.alias("h"))
-        counts.append(counted.select(F.lit(name).alias("t"), "n", "h"))
+def _counted(tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, df in tables.items()
+    ]
     return {r.t: r.n for r in reduce(DataFrame.unionByName, counts).collect()} if counts else {}
 
 
+def _landed(tables: dict[str, DataFrame], folder: str, errors: dict[str, str]) -> dict[str, int]:
+    """Each table parsed once, written as Parquet below ``folder`` and counted on the way; ``tables`` then read that."""
+    counts = {}
+    for name, df in list(tables.items()):
+        seen, path = Observation(), os.path.join(folder, name)
+        try:
+            io.sink_parquet(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+            counts[name] = seen.get["rows"]
+            tables[name] = df.sparkSession.read.schema(df.schema).parquet(path)
+        except Exception as error:
+            errors[name] = _condition(error)
+            del tables[name]
+    return counts
+
+
 def extract_all(
-    spark: SparkSession, datasets: Mapping[str, Callable[[], DataFrame]], verify: bool = False
+    spark: SparkSession, datasets: Mapping[str, Callable[[], DataFrame]], land: str | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Load every dataset; what is missing or unreadable is reported and the rest goes on.
 
     Returns the loaded tables (also registered by name) and a report ``name, rows, error``.
     All counts come from one job; only if that fails are the tables counted one by one to
-    find the unreadable ones. ``verify`` parses every value, for text formats, where a plain
-    count would skip them.
+    find the unreadable ones. With a folder ``land`` each dataset is parsed once, every value of it, and
+    stored there as Parquet, which the returned tables read: for text formats.
     """
     tables, errors = {}, {}
     for name, load in datasets.items():
@@ -51,12 +63,12 @@ def extract_all(
         except Exception as error:  # the report is the place for any failure of one dataset
             errors[name] = _condition(error)
     try:
-        counts = _counted(tables, verify)
+        counts = _landed(tables, land, errors) if land else _counted(tables)
     except Exception:
         counts = {}
         for name in list(tables):
             try:
-                counts |= _counted({name: tables[name]}, verify)
+                counts |= _counted({name: tables[name]})
             except Exception as error:
                 errors[name] = _condition(error)
                 del tables[name]

@@ -1,6 +1,6 @@
 import pytest
 
-from tallywork.etl import run_etl
+from tallywork.etl import read_config, run_etl
 from tallywork.plans import evaluation
 from tallywork.plans.warehouse import extract_all
 from tallywork.schema import RETAIL
@@ -43,7 +43,7 @@ def test_missing_and_bad_files(spark, tmp_path):
     load = lambda: io.scan_csv(spark, str(tmp_path / "bad.csv"), schema=RETAIL.schema("orders"))
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         load().collect()
-    tables, report = extract_all(spark, {"bad": load, "good": lambda: spark.range(3)}, verify=True)
+    tables, report = extract_all(spark, {"bad": load, "good": lambda: spark.range(3)}, land=str(tmp_path / "landed"))
     assert list(tables) == ["good"]
     assert [(r.name, r.rows) for r in report.collect()] == [("bad", None), ("good", 3)]
     assert report.first().error
@@ -60,6 +60,23 @@ def test_etl_builds_all_marts(spark, raw, tmp_path):
     assert rows(monthly, "region", "revenue", "aov") == [("East", 20.0, 20.0), ("West", 5.0, 5.0)]
 
 
+def test_etl_from_a_configuration(spark, raw, tmp_path):
+    columns = {t: [{"name": f.name, "type": k} for f, k in zip(RETAIL.schema(t), kinds)] for t, kinds in {
+        "orders": "INTEGER DATE INTEGER INTEGER INTEGER DOUBLE VARCHAR".split(),
+        "customers": "INTEGER VARCHAR VARCHAR VARCHAR DATE".split(), "products": "INTEGER VARCHAR VARCHAR DOUBLE".split(),
+    }.items()}
+    lines = ["project:", f"  warehouse_path: {tmp_path}/house.duckdb", "  datasets:"]
+    lines += [f"    - {raw}/{t}.csv" for t in columns] + ["schema:"]
+    for table, fields in columns.items():
+        lines += [f"  {table}:", "    columns:"] + [f"      - {{name: {c['name']}, type: {c['type']}}}" for c in fields]
+    (tmp_path / "project.yaml").write_text("\n".join(lines))
+    paths, folder, registry = read_config(str(tmp_path / "project.yaml"))
+    assert folder == f"{tmp_path}/house" and list(paths) == list(columns)
+    extracted, built = run_etl(spark, "", folder, paths=paths, registry=registry)
+    assert built.filter("error is not null").count() == 0
+    assert spark.read.parquet(f"{folder}/fact_orders").count() == 2
+
+
 def test_etl_reports_missing_tables(spark, raw, tmp_path):
     (raw / "elsewhere").mkdir()
     extracted, built = run_etl(spark, str(raw / "elsewhere"), str(tmp_path / "marts"))
