@@ -2,7 +2,9 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never be merged, so a text may
 be cut there for certain. Every pre-token is cut at such pairs, the fragments are encoded on their
-own (each distinct one once per worker, in a cache of bounded size), and their ids are concatenated.
+own and their ids are concatenated. The words of a block of texts that a worker has not met before are
+encoded together, as arrays of symbols in which every fragment makes its next merge in the same
+step; a cache of bounded size keeps them.
 
 The vocabulary file is read on the driver and sent as a broadcast of fixed size, about 2 MB. Texts stay
 in their partitions: no shuffle. Ids are stored packed, as little-endian unsigned 32-bit integers.
@@ -11,7 +13,9 @@ in their partitions: no shuffle. Ids are stored packed, as little-endian unsigne
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,10 +26,12 @@ from pyspark.sql import types as T
 
 from tallywork.llm.common import named, text_of
 
-CACHE = 100_000
+CACHE = 200_000
+BLOCK = 1_000_000
+NONE = 1 << 40
 END = "</w>"
-#: Fixed: white space of the tokenizer's patterns.
-SPACE = r"[\t-\r \x85\xa0  -     　]+"
+#: Fixed: white space of the tokenizer's patterns, inside a character class.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> list[str]:
@@ -47,88 +53,139 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
-class _Cache(dict):
-    """Computes what is missing; starts anew when full, so memory stays bounded."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Coder:
+    """Encodes and decodes with one vocabulary; merges run over arrays of many words at once."""
+
     def __init__(self, tables: dict):
-        self.ids = tables["vocab"]
-        self.ranks = {pair: rank for rank, pair in enumerate(tables["merges"])}
-        self.special = tables["special"]
-        self.letters = byte_letters()
-        self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for token, i in [*self.ids.items(), *self.special.items()]:
+        ids, self.special = tables["vocab"], tables["special"]
+        self.tokens = [""] * (1 + max([*ids.values(), *self.special.values()]))
+        for token, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.inside, self.at_end = set(), set()
-        for token in self.ids:
-            bare = token.removesuffix(END) if token != END else token
-            pairs = [bare[i: i + 2] for i in range(len(bare) - 1)]
+        letters = byte_letters()
+        self.middle = np.array([ids[c] for c in letters], np.int64)
+        self.last = np.array([ids[c + END] for c in letters], np.int64)
+        keys = np.array([ids[a] << 32 | ids[b] for a, b in tables["merges"]], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order
+        self.made = np.array([ids[a + b] for a, b in tables["merges"]], np.int64)
+        # Pairs of bytes that some token holds: elsewhere a cut is certain. The last byte of a word is a case of its own.
+        self.inside, self.at_end = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
+        number = {c: b for b, c in enumerate(letters)}
+        for token in ids:
+            bare = token.removesuffix(END) if len(token) > len(END) else token
+            held = [number[c] for c in bare if c in number]
+            pairs = list(zip(held, held[1:]))
             if bare != token and pairs:
-                self.at_end.add(pairs.pop())
-            self.inside.update(pairs)
-        self.words = regex.compile(tables["pattern"].replace(r"\s", " "))
-        self.space = regex.compile(SPACE)
+                self.at_end[pairs.pop()] = True
+            for pair in pairs:
+                self.inside[pair] = True
+        # White space only separates, so texts need no squeezing first; for ASCII the classes are plain ranges.
+        self.words = regex.compile(tables["pattern"].replace(r"\s", SPACE))
+        plain = tables["pattern"].replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        self.ascii_words = re.compile(plain)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.packed = _Cache(self._pack)
-
-    def _fragments(self, word: str) -> list[str]:
-        """``word`` in byte letters, cut at every pair that no token holds."""
-        out, start, last = [], 0, len(word) - 2
-        for i in range(len(word) - 1):
-            if word[i: i + 2] not in (self.at_end if i == last else self.inside):
-                out.append(word[start: i + 1])
-                start = i + 1
-        out.append(word[start:])
-        return out
-
-    def _merge(self, symbols: list[str]) -> list[str]:
-        """Merges the pair of lowest rank, leftmost first, until none is left."""
-        while len(symbols) > 1:
-            rank, at = min((self.ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if rank == 1 << 30:
-                break
-            symbols[at: at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
-
-    def _pack(self, word: str) -> bytes:
-        fragments = self._fragments("".join(self.letters[b] for b in word.encode()))
-        ids = []
-        for n, fragment in enumerate(fragments):
-            symbols = list(fragment)
-            if n == len(fragments) - 1:
-                symbols[-1] += END
-            ids += [self.ids[s] for s in self._merge(symbols)]
-        return np.array(ids, "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = self.space.sub(" ", text).lower()
-        return b"".join(map(self.packed.__getitem__, self.words.findall(text)))
-
-    def encode(self, text: str) -> bytes:
+        self.known: dict[str, bytes] = {}
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``NONE`` where there is no merge."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.ranks[at], NONE)
+
+    def merged(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in ``data`` (bytes; a word ends where ``ends``), and at which byte each id starts."""
+        symbols = np.where(ends, self.last[data], self.middle[data])
+        cut = np.ones(len(data), bool)  # a fragment ends here
+        pairs = np.where(ends[1:], self.at_end[data[:-1], data[1:]], self.inside[data[:-1], data[1:]])
+        cut[:-1] = ends[:-1] | ~pairs
+        final, place = np.full(len(data), -1, np.int64), np.arange(len(data))
+        rank = np.full(len(data), NONE, np.int64)
+        open_ = np.flatnonzero(~cut)
+        rank[open_] = self._ranks(symbols[open_], symbols[open_ + 1])
+        while len(symbols):
+            starts = np.flatnonzero(np.r_[True, cut[:-1]])
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.r_[starts, len(symbols)])
+            done = np.repeat(least == NONE, sizes)
+            if done.any():
+                final[place[done]] = symbols[done]
+                going = ~done
+                symbols, cut, rank, place = symbols[going], cut[going], rank[going], place[going]
+                least, sizes = least[least != NONE], sizes[least != NONE]
+                if not len(symbols):
+                    break
+            fragment = np.repeat(np.arange(len(sizes)), sizes)
+            best = np.flatnonzero(rank == least[fragment])
+            best = best[np.r_[True, fragment[best[1:]] != fragment[best[:-1]]]]  # the leftmost of each fragment
+            symbols[best] = self.made[rank[best]]
+            cut[best] = cut[best + 1]
+            keep = np.ones(len(symbols), bool)
+            keep[best + 1] = False
+            symbols, cut, rank, place = symbols[keep], cut[keep], rank[keep], place[keep]
+            best -= np.arange(len(best))
+            before = best[best > 0] - 1
+            touched = np.concatenate([best, before])
+            rank[touched] = NONE
+            touched = touched[~cut[touched]]
+            rank[touched] = self._ranks(symbols[touched], symbols[touched + 1])
+        at = np.flatnonzero(final >= 0)
+        return final[at], at
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        stops = np.cumsum(sizes)
+        ends = np.zeros(int(stops[-1]), bool)
+        ends[stops - 1] = True
+        ids, at = self.merged(np.frombuffer(b"".join(raw), np.uint8), ends)
+        packed, bounds = ids.astype("<u4").tobytes(), (4 * np.searchsorted(at, stops)).tolist()
+        self.known.update(zip(words, [packed[a:b] for a, b in zip([0, *bounds], bounds)]))
+
+    def _parts(self, text: str) -> list[str]:
+        """Plain stretches and, at odd places, the special tokens between them."""
         if self.marks is None or not any(mark in text for mark in self.special):
-            return self._plain(text)
-        parts = self.marks.split(text)
-        return b"".join(np.array(self.special[p], "<u4").tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))
+            return [text]
+        return self.marks.split(text)
+
+    def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [[p if i % 2 else self._words(p) for i, p in enumerate(self._parts(t))] for t in texts]
+        seen = set().union(*[p for text in parts for p in text[::2]])
+        new = seen - self.known.keys()
+        if new and len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = seen
+        if new:
+            self._learn(list(new))
+        of = self.known.__getitem__
+        return [
+            b"".join(np.array(self.special[p], "<u4").tobytes() if i % 2 else b"".join(map(of, p)) for i, p in enumerate(text))
+            for text in parts
+        ]
 
     def decode(self, packed: bytes) -> str:
         tokens = self.tokens
         return " ".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
 
 
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of whole texts of about ``BLOCK`` letters."""
+    block, size = [], 0
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size >= BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 _CODERS: dict[str, Coder] = {}
 
 
@@ -146,7 +203,8 @@ def codec(spark: SparkSession, vocabulary: str):
 
     @F.pandas_udf(T.BinaryType())
     def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(_coder(tables, key).encode)
+        coder = _coder(tables, key)
+        return pd.Series([ids for block in blocks(texts.tolist()) for ids in coder.encode(block)], dtype=object)
 
     @F.pandas_udf(T.StringType())
     def decode(ids: pd.Series) -> pd.Series:
