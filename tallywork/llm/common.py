@@ -7,13 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.session import new_folder
+from tallywork.session import new_folder, ship_package
 
 #: Fixed: white space of all contracts, as in the character class [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 ROW = "row"
 
 
+#: Texts may be long, so few of them go to a Python worker at a time; this bounds its memory and Spark's.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Readies the session for operators with Python in their tasks: ships the package, bounds the batches."""
+    ship_package(spark)
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 

@@ -18,8 +18,7 @@ from tallywork.llm import simhash as _simhash
 from tallywork.llm import suffix_array as _suffixes
 from tallywork.llm import suffix_tree_lm as _lm
 from tallywork.llm import toxicity as _toxicity
-from tallywork.llm.common import table
-from tallywork.session import ship_package
+from tallywork.llm.common import prepare, table
 
 
 def op1_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
@@ -33,18 +32,18 @@ def op2_mixing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, path: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     docs = table(spark, path, "documents")
     return _toxicity.score_documents(docs, _toxicity.train(docs, table(spark, path, "labels")))
 
 
 def op4_simhash(spark: SparkSession, path: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return _simhash.near_duplicates(table(spark, path, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     docs = table(spark, path, "documents")
     return _lm.score_documents(docs, *_lm.train(docs))
 
@@ -68,7 +67,7 @@ def op6_pii(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     coded = _bpe.encode_documents(table(spark, path, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -76,7 +75,7 @@ def op7_bpe(spark: SparkSession, path: str, vocabulary: str | None = None) -> Da
 
 
 def op8_suffix_array(spark: SparkSession, path: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return _suffixes.suffix_dedup(table(spark, path, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"),
@@ -84,7 +83,7 @@ def op8_suffix_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, path: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return _quality.quality_report(table(spark, path, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
