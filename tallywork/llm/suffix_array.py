@@ -335,7 +335,8 @@ def repeated_spans(pieces: DataFrame) -> DataFrame:
     distinct = store(
         found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("place", "at")).alias("one")), "contexts"
     )
-    several = distinct.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1")
+    # Stored, so that Spark can split a core with many contexts in the join.
+    several = store(distinct.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     apart = distinct.join(several, "core").select("core", "context", "n", "m", "one.place", "one.at")
     listed = apart.groupBy("place").agg(F.collect_list(F.struct("core", "context", "n", "m", "at")).alias("asked"))
     shown = listed.join(pieces.select("place", "packed"), "place").select(
