@@ -39,9 +39,9 @@ WEIGHT = 15.0
 HEAVY_SHARE = 5e-7
 FOLDS, HELD_OUT = 7, 2
 LOG2_10, HALF = float(np.log2(10)), float(np.log10(2))
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 PIECE = 256
-BUFFER = 4_000_000
+BUFFER = 3_000_000
 END, SPACE = 10, 32
 #: Set in the keys of words; the keys of contexts leave it free (DEPTH + 1 bytes, at most seven).
 WORD_BIT = np.int64(-(2**63))
