@@ -34,7 +34,7 @@ MEASURES = {
     "dup_lines": ("n_dup_lines", "n_lines"),
     "capitals": ("n_capitals", "word_chars"),
 }
-GAPS = {"word_length": 6.0, "symbols": 0.3, "repeats": 0.25, "dup_lines": 0.4, "capitals": 0.4}
+GAPS = {"word_length": 6.0, "symbols": 0.3, "repeats": 0.4, "dup_lines": 0.4, "capitals": 0.4}
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 1
