@@ -60,4 +60,61 @@ SELECT s.doc_id, count(*) FILTER (s.line <> '') AS n_lines, count(g.place) AS n_
   sha256(coalesce(string_agg(s.raw, chr(10) ORDER BY s.place) FILTER (g.place IS NULL), '')) AS kept_sha256
 FROM lines s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place GROUP BY s.doc_id"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op10_line_dedup": OP10}
+# Measures with the least distance of a fence from the median, as in the quality rules.
+_GAPS = {"word_length": 6.0, "symbols": 0.3, "repeats": 0.4, "dup_lines": 0.4, "capitals": 0.4}
+
+
+def _fences(keys: str, name: str) -> str:
+    by = f"{keys}, " if keys else ""
+    same = f"PARTITION BY {by}measure"
+    gap = " ".join(f"WHEN '{m}' THEN CAST({g} AS DOUBLE)" for m, g in _GAPS.items())
+    q = ", ".join(f"min(value) FILTER (upto >= ceil({x} * size)) AS q{x[2:]}" for x in ("0.25", "0.5", "0.75"))
+    return f"""{name}_upto AS (
+  SELECT {by}measure, CASE WHEN bucket = -1000000 THEN CAST(0 AS DOUBLE) ELSE 2 * pow(CAST(1.02 AS DOUBLE), bucket) / CAST(2.02 AS DOUBLE) END AS value,
+    sum(n) OVER ({same} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({same}) AS size
+  FROM (SELECT {by}measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)
+), {name} AS (
+  SELECT {by}measure, size, greatest(q75 + 6 * (q75 - q25), q5 + CASE measure {gap} END) AS fence
+  FROM (SELECT {by}measure, max(size) AS size, {q} FROM {name}_upto GROUP BY ALL))"""
+
+
+OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS nth FROM d
+), win AS (
+  SELECT doc_id, nth, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS three FROM w
+  WINDOW o AS (PARTITION BY doc_id ORDER BY nth)
+), again AS (
+  SELECT doc_id, nth FROM win WHERE three IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT nth + k) AS n_repeat_words FROM again, range(3) AS r(k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id
+), f AS (
+  SELECT doc_id, lang, source, len(words) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
+), m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    coalesce(word_chars / nullif(n_words, 0), 0) AS word_length, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeats, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines,
+    coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals
+  FROM f
+), long AS (
+  {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, {m} AS v FROM m" for m in _GAPS)}
+), sketch AS (
+  SELECT lang, source, measure, CASE WHEN v <= 0 THEN -1000000 ELSE CAST(ceil(ln(v) / ln(CAST(1.02 AS DOUBLE))) AS INT) END AS bucket,
+    count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL
+), {_fences("lang, source", "own")}, {_fences("", "every")}, over AS (
+  SELECT DISTINCT long.doc_id FROM long JOIN own ON long.measure = own.measure AND long.lang IS NOT DISTINCT FROM own.lang
+    AND long.source IS NOT DISTINCT FROM own.source JOIN every ON every.measure = long.measure
+  WHERE v > CASE WHEN own.size >= 100 THEN own.fence ELSE every.fence END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM m"""
+
+SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op9_quality_rules": OP9, "op10_line_dedup": OP10}
