@@ -17,7 +17,7 @@ from tallywork.plans.registry import query
 from tallywork.plans.warehouse import build_marts as build
 from tallywork.plans.warehouse import extract_all as extract
 from tallywork.schema import STAR
-from tallywork.session import new_folder
+from tallywork.session import new_folder, still_there
 from tallywork.sources import io
 from tallywork.sources.querylog import query_log
 from tallywork.sources.star import Star
@@ -103,7 +103,7 @@ _BUILT: dict[tuple[str, str], str] = {}
 def _written(star: Star, name: str) -> DataFrame:
     """A mart as the build wrote it; one build per application and source serves all marts."""
     key = (star.spark.sparkContext.applicationId, star.path)
-    if key not in _BUILT:
+    if not still_there(_BUILT.get(key)):
         out = new_folder(star.spark, "marts")
         _build(star, out)
         _BUILT[key] = out

@@ -56,9 +56,29 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder, for written tables."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """An unused path in the shared folder, for written tables; see ``drop_scratch``."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
+def still_there(path: str | None) -> bool:
+    """Whether a folder of ``new_folder`` has not been dropped."""
+    return path in _WRITTEN
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove all tables written to the shared folder so far, once the results that read them are done with."""
+    paths, files = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _WRITTEN:
+        path = paths.Path(_WRITTEN.pop())
+        dropped += path.getFileSystem(files).delete(path, True)
+    return dropped
 
 
 _SHIPPED: set[str] = set()

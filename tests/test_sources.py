@@ -162,3 +162,14 @@ def test_approach_summary_counts_errors_against_accuracy(spark):
     assert (out["new"].accuracy_pct, out["new"].avg_tokens, out["new"].errors) == (50.0, 60.0, 1)
     assert out["new"].tokens_delta_pct == -60.0
     assert (out["dead"].accuracy_pct, out["dead"].avg_tokens, out["dead"].total_cost) == (0.0, 0.0, 0.0)
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from tallywork.session import drop_scratch, new_folder
+
+    drop_scratch(spark)
+    path = new_folder(spark, "scratch")
+    spark.range(3).write.parquet(path)
+    assert drop_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file://"))
