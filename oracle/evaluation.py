@@ -3,6 +3,7 @@
 from oracle.benchmark import SQL as QUESTIONS
 from oracle.common import FACT, ORDERS, REVENUE, SALES, dbl
 from oracle.kpis import KPIS
+from tallywork.plans.kpi_specs import KPIS as SPECS
 from oracle.querylog import CROSS, LOG, SCAN, STAR_SELECT
 
 
@@ -32,12 +33,12 @@ PROFITS = f"p AS (SELECT {KPIS['gross_profit'][0]} AS v FROM sales GROUP BY {KPI
 TOTALS = "t AS (SELECT " + ", ".join(f"{formula} AS {key}" for key, (formula, _, _) in KPIS.items()) + " FROM sales)"
 
 
-def kpi_task(task: str, conditions: list[str]) -> str:
+def kpi_task(task: str, key: str, conditions: list[str]) -> str:
     held = " + ".join(f"CAST({c} AS BIGINT)" for c in conditions)
     n = len(conditions)
     return f"""SELECT '{task}' AS task_id, ({held}) = {n} AS passed,
       CAST(0.6 AS DOUBLE) + CAST({held} AS DOUBLE) / {n} * CAST(0.4 AS DOUBLE) AS score, TRUE AS execution_match,
-      ({held}) = {n} AS static_checks_passed FROM t"""
+      ({held}) = {n} AS static_checks_passed, CAST({2 * len(SPECS[key].formula_sql.split())} AS BIGINT) AS token_cost FROM t"""
 
 
 SUMMED = """summed AS (SELECT approach, COUNT(*) AS tasks,
@@ -97,11 +98,11 @@ SQL = {
       UNION ALL SELECT 'range', COUNT(*) > 0 FROM p UNION ALL SELECT 'other', COUNT(*) > 0 FROM p
       UNION ALL SELECT 'range_with_bounds', COUNT(*) > 0 AND bool_and(coalesce(v BETWEEN 0 AND 1000000, FALSE)) FROM p""",
     "evaluate_kpi": f"WITH {SALES}, {TOTALS} " + " UNION ALL ".join([
-        kpi_task("kpi_001", ["revenue IS NOT NULL", "coalesce(revenue >= 0, FALSE)"]),
-        kpi_task("kpi_002", ["coalesce(aov >= 0, FALSE)"]),
-        kpi_task("kpi_003", ["customer_count IS NOT NULL", "coalesce(customer_count >= 0, FALSE)"]),
-        kpi_task("kpi_004", ["gross_profit IS NOT NULL"]),
-        kpi_task("kpi_005", ["TRUE"])]),
+        kpi_task("kpi_001", "revenue", ["revenue IS NOT NULL", "coalesce(revenue >= 0, FALSE)"]),
+        kpi_task("kpi_002", "aov", ["coalesce(aov >= 0, FALSE)"]),
+        kpi_task("kpi_003", "customer_count", ["customer_count IS NOT NULL", "coalesce(customer_count >= 0, FALSE)"]),
+        kpi_task("kpi_004", "gross_profit", ["gross_profit IS NOT NULL"]),
+        kpi_task("kpi_005", "profit_margin", ["TRUE"])]),
     "suite_report": REPORT,
     "suite_summary": f"""SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE passed) AS passed,
       COUNT(*) FILTER (WHERE NOT passed) AS failed,

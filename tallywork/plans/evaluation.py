@@ -96,13 +96,15 @@ def kpi_properties(
 
 
 def evaluate_kpi(
-    spark: SparkSession, task_id: str, measure: Callable[[], DataFrame], properties: Sequence[str]
+    spark: SparkSession, task_id: str, measure: Callable[[], DataFrame], properties: Sequence[str],
+    measure_sql: str = "",
 ) -> DataFrame:
     """One row for one measure: 0.6 for running, 0.4 for the share of properties that hold.
 
-    The measure runs now; whatever it raises counts as not run, with no property held.
+    The measure runs now; whatever it raises counts as not run, with no property held. ``measure_sql`` is its text, for
+    the token cost; ``latency`` is the time it took in seconds.
     """
-    counts, executed = (0, len(properties)), True
+    counts, executed, began = (0, len(properties)), True, time.perf_counter()
     try:
         result = measure()
         if properties:
@@ -112,7 +114,7 @@ def evaluate_kpi(
             result.write.format("noop").mode("overwrite").save()
     except FAILURES:
         executed = False
-    held = spark.createDataFrame([counts], "held long, total long")
+    held = spark.createDataFrame([(*counts, time.perf_counter() - began)], "held long, total long, latency double")
     share = F.col("held") / F.greatest(F.col("total"), F.lit(1)).cast("double")
     ran = F.lit(executed)
     return held.select(
@@ -121,6 +123,7 @@ def evaluate_kpi(
         (F.lit(KPI_EXECUTION_WEIGHT if executed else 0.0) + share * KPI_PROPERTY_WEIGHT).alias("score"),
         ran.alias("execution_match"),
         (F.col("held") == F.col("total")).alias("static_checks_passed"),
+        (text.word_count(F.lit(measure_sql)) * 2).alias("token_cost"), "latency",
     )
 
 

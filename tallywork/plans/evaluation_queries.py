@@ -88,10 +88,10 @@ def evaluate_kpi(star: Star) -> DataFrame:
         return kpis.kpis_over_facts(star, [KPIS[key]], [])
 
     rows = [
-        evaluation.evaluate_kpi(star.spark, task, lambda key=key: measure(key), properties)
+        evaluation.evaluate_kpi(star.spark, task, lambda key=key: measure(key), properties, KPIS[key].formula_sql)
         for task, key, properties in KPI_TASKS
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, rows).drop("latency")
 
 
 def _suite(star: Star) -> DataFrame:

@@ -6,7 +6,8 @@ named ``measures``, where an order is one row (per product grain, if there is an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -103,3 +104,26 @@ ORDER_ROWS = KpiSpec(
     "order_rows", "OrderCount", "total number of orders", "COUNT(order_id)",
     ("order_date",), ("order_id",), "COUNT", "number", "long", facts=lambda: F.sum("line_count"),
 )
+
+
+def read_specs(path: str, columns: Iterable[str]) -> dict[str, KpiSpec]:
+    """Specifications from a YAML file: ``kpis`` by key, each with formula_sql, grain and tests as above.
+
+    ``columns`` are those of the sales; an input is a column that the formula names. Such specifications are evaluated
+    over raw lines (``kpis_at_grain``). Integer results are declared with ``result: long``.
+    """
+    import yaml  # only needed here
+
+    with open(path, encoding="utf-8") as file:
+        config = yaml.safe_load(file)
+    known, specs = set(columns), {}
+    for key, body in config["kpis"].items():
+        grain = body.get("grain", [])
+        specs[key] = KpiSpec(
+            key, body.get("name", key), body.get("formula_nl", ""), body["formula_sql"],
+            tuple([grain] if isinstance(grain, str) else grain),
+            tuple(sorted(known & set(re.findall(r"[A-Za-z_]\w*", body["formula_sql"])))),
+            body.get("aggregation", ""), body.get("format", ""), body.get("result", "double"),
+            tests=tuple(KpiTest(t["type"], t.get("min"), t.get("max")) for t in body.get("tests", [])),
+        )
+    return specs

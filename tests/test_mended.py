@@ -70,3 +70,18 @@ def test_running_errors_score_nothing(spark):
 def test_copies_are_found_by_the_whole_digest(spark):
     texts = spark.createDataFrame([("n", "a"), ("n", "a"), ("n", "b")], "name string, text string")
     assert textjobs.duplicate_components(texts, "name", "text").count() == 1
+
+
+def test_kpis_from_a_file(spark, star, tmp_path):
+    from tallywork.plans import kpis
+    from tallywork.plans.kpi_specs import KPIS, read_specs
+
+    (tmp_path / "kpis.yaml").write_text(
+        "kpis:\n  aov:\n    name: AOV\n    formula_sql: CAST(SUM(quantity * price) AS DOUBLE) / COUNT(DISTINCT order_id)\n"
+        "    grain: [order_date, region]\n    tests:\n      - {type: not_null}\n      - {type: range, min: 0, max: 10}\n"
+    )
+    spec = read_specs(str(tmp_path / "kpis.yaml"), ["order_id", "quantity", "price", "region"])["aov"]
+    assert spec.inputs == ("order_id", "price", "quantity") and spec.grain == ("order_date", "region")
+    got = kpis.kpi_at_grain(star.sales(["region", *spec.inputs]), spec, ["region"])
+    assert rows(got) == rows(kpis.kpis_over_facts(star, [KPIS["aov"]], ["region"]))
+    assert [r.passed for r in kpis.kpi_tests(got, [spec]).orderBy("test").collect()] == [True, False]
