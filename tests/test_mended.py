@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywork.operators import compare, configured, textjobs
-from tallywork.plans import dashboard, evaluation
-from tallywork.plans.registry import QUERIES
+from tallywork.plans import all_queries, dashboard, evaluation
 from tests.conftest import rows
 
+QUERIES = all_queries()
+
 
 def test_all_time_reaches_back_without_bound(spark):
     orders = spark.createDataFrame(
