@@ -69,19 +69,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     joined = rows.join(repeated_windows(docs, id_col, text_col), keys, "left")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(WINDOW)]))))
-    lines = joined.select("doc_id", "text", _lines(F.col("text")).alias("lines"), covered.alias("covered"))
-    gone = F.transform("covered", lambda i: F.get("lines", i)["at"])
-    kept = F.array_join(
-        F.transform(
-            F.filter(
-                F.transform(F.split("text", "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("at"))),
-                lambda line: ~F.array_contains("gone", line["at"]),
-            ),
-            lambda line: line["line"],
-        ),
-        "\n",
+    lines = joined.select(
+        "doc_id", "text", F.split("text", "\n").alias("raw"), _lines(F.col("text")).alias("lines"), covered.alias("covered")
     )
-    return lines.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), gone.alias("gone")).select(
+    gone = F.transform("covered", lambda i: F.get("lines", i)["at"])
+    # A difference of two sets of positions, so that long texts cost linear time.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("raw", i)), "\n")
+    return lines.select("doc_id", "text", "raw", F.size("lines").cast("long").alias("n_lines"), gone.alias("gone")).select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
     )

@@ -96,9 +96,11 @@ def _confirmed(kind: str, match: Column) -> Column:
 def _proposals(text: Column, kind: Kind) -> Column:
     """Array of (kind, nth, gap, size, ok, score), one per match in order; null without a match."""
     matches, gaps = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
+    # Zipped, so that each array is made once, not once per match; the last gap has no match.
+    zipped = F.arrays_zip(matches, gaps, F.slice(gaps, F.lit(2), F.lit(2**31 - 1)))
 
-    def one(i: Column) -> Column:
-        match, before, after = F.get(matches, i), F.get(gaps, i), F.get(gaps, i + 1)
+    def one(x: Column, i: Column) -> Column:
+        match, before, after = x["0"], x["1"], x["2"]
         ok = _confirmed(kind.name, match)
         near = F.lower(F.concat_ws(" ", F.right(before, F.lit(NEAR)), F.left(after, F.lit(NEAR))))
         score = F.lit(kind.score) + F.when(near.rlike(kind.words), F.lit(BOOST)).otherwise(F.lit(0.0))
@@ -107,7 +109,7 @@ def _proposals(text: Column, kind: Kind) -> Column:
             (ok & (F.lit(kind.base) | (score >= ACCEPT))).alias("ok"), score.alias("score"),
         )
 
-    return F.when(text.rlike(kind.pattern), F.transform(F.sequence(F.lit(0), F.size(matches) - 1), one))
+    return F.when(text.rlike(kind.pattern), F.transform(F.filter(zipped, lambda x: x["0"].isNotNull()), one))
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
