@@ -68,6 +68,11 @@ class Coder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.made = np.array([ids[a + b] for a, b in tables["merges"]], np.int64)
+        # Where what a merge makes is used by later merges only, no merge can come before another of its own rank.
+        used = np.full(len(self.tokens), NONE, np.int64)
+        for side in (0, 1):
+            np.minimum.at(used, np.array([ids[m[side]] for m in tables["merges"]], np.int64), np.arange(len(keys)))
+        self.in_order = bool((used[self.made] > np.arange(len(keys))).all())
         # Pairs of bytes that some token holds: elsewhere a cut is certain. The last byte of a word is a case of its own.
         self.inside, self.at_end = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
         number = {c: b for b, c in enumerate(letters)}
@@ -117,15 +122,18 @@ class Coder:
                     break
             fragment = np.repeat(np.arange(len(sizes)), sizes)
             best = np.flatnonzero(rank == least[fragment])
-            best = best[np.r_[True, fragment[best[1:]] != fragment[best[:-1]]]]  # the leftmost of each fragment
+            if self.in_order:  # all of its next merge, leftmost first: every other one where they overlap
+                first = np.r_[True, best[1:] != best[:-1] + 1]
+                best = best[(best - best[first][np.cumsum(first) - 1]) % 2 == 0]
+            else:  # the leftmost of each fragment
+                best = best[np.r_[True, fragment[best[1:]] != fragment[best[:-1]]]]
             symbols[best] = self.made[rank[best]]
             cut[best] = cut[best + 1]
             keep = np.ones(len(symbols), bool)
             keep[best + 1] = False
             symbols, cut, rank, place = symbols[keep], cut[keep], rank[keep], place[keep]
             best -= np.arange(len(best))
-            before = best[best > 0] - 1
-            touched = np.concatenate([best, before])
+            touched = np.unique(np.concatenate([best, best[best > 0] - 1]))
             rank[touched] = NONE
             touched = touched[~cut[touched]]
             rank[touched] = self._ranks(symbols[touched], symbols[touched + 1])
