@@ -24,12 +24,15 @@ FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
 def _plain(side: DataFrame) -> DataFrame:
-    """The columns in the order of their names, renamed c0, c1 …: names may hold dots or repeat. Maps become sorted entries."""
+    """The columns in the order of their names, renamed: names may hold dots or repeat. Maps become sorted entries.
+
+    The new names sort as the columns stand.
+    """
     order = sorted(range(len(side.columns)), key=lambda i: side.columns[i])
-    renamed = side.toDF(*[f"c{order.index(i)}" for i in range(len(order))])
+    names = [f"c{n:05d}" for n in range(len(order))]
+    renamed = side.toDF(*[names[order.index(i)] for i in range(len(order))])
     return renamed.select(*[
-        F.array_sort(F.map_entries(f"c{i}")).alias(f"c{i}") if isinstance(renamed.schema[f"c{i}"].dataType, T.MapType) else f"c{i}"
-        for i in range(len(order))
+        F.array_sort(F.map_entries(c)).alias(c) if isinstance(renamed.schema[c].dataType, T.MapType) else c for c in names
     ])
 
 
@@ -88,7 +91,6 @@ def cell_matches(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE)
     columns = got.columns
     if not columns:
         return got.sparkSession.createDataFrame([(0, 0, 0)], "got_rows long, want_rows long, matching long")
-    columns = sorted(columns)
     runs = _runs(got, want)
     aligned = (
         F.lit(all(_comparable(got, want, c) for c in columns))

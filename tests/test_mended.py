@@ -86,3 +86,12 @@ def test_kpis_from_a_file(spark, star, tmp_path):
     got = kpis.kpi_at_grain(star.sales(["region", *spec.inputs]), spec, ["region"])
     assert rows(got) == rows(kpis.kpis_over_facts(star, [KPIS["aov"]], ["region"]))
     assert [r.passed for r in kpis.kpi_tests(got, [spec]).orderBy("test").collect()] == [True, False]
+
+
+def test_wide_tables_keep_their_column_order(spark):
+    """More than ten columns: both sides are sorted by the columns as their names sort."""
+    wide = spark.range(40).select(*[((F.col("id") * (n + 3)) % 7).alias(f"k{n:02d}") for n in range(13)])
+    other = wide.withColumn("k02", F.when(F.col("k03") == 0, -1).otherwise(F.col("k02")))
+    a, b = (sorted(map(tuple, df.collect())) for df in (wide, other))
+    same = sum(x == y for r, s in zip(a, b) for x, y in zip(r, s))
+    assert compare.cell_match_score(wide, other).first()[0] == pytest.approx(same / (40 * 13))
