@@ -24,6 +24,20 @@ from tallywork.llm.common import named, text_of
 ACCEPT = 0.6
 NEAR = 40
 LOCAL = r"[A-Za-z0-9._%+-]"
+#: Fixed: characters of an IBAN by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+_SIZED = "".join((
+    r"(?=[A-Z]{2}[0-9]{2})(?:",
+    "|".join(rf"(?:{lands})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}" for size, lands in IBANS.items()),
+    ")(?![A-Za-z0-9])",
+))
+#: An IBAN of its country's length, whatever follows; else a run of that form, up to where such a one begins.
+IBAN = rf"(?<![A-Za-z0-9])(?:{_SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20(?!{_SIZED})[A-Z0-9]|[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
 
 
 @dataclass(frozen=True)
@@ -43,7 +57,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server|login", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, "card|visa|credit|payment|account", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.7, "iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", IBAN, 0.7, "iban|account|bank|konto|compte|cuenta"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social security|national id|\bid\b"),
     Kind(
         "local_phone", r"(?<![0-9+])(?<![0-9)][\x20().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
