@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallywork.llm.common import named, text_of
@@ -108,24 +108,33 @@ def _confirmed(kind: str, match: Column) -> Column:
 
 
 def _proposals(text: Column, kind: Kind) -> Column:
-    """Array of (kind, nth, gap, size, ok, score), one per match in order; null without a match."""
+    """Array of (kind, nth, gap, size, ok, and the nearest characters), one per match in order; null without a match."""
     matches, gaps = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
     # Zipped, so that each array is made once, not once per match; the last gap has no match.
-    zipped = F.arrays_zip(matches, gaps, F.slice(gaps, F.lit(2), F.lit(2**31 - 1)))
+    zipped = F.arrays_zip(matches, gaps, F.slice(gaps, F.lit(2), F.size(gaps)))
 
     def one(x: Column, i: Column) -> Column:
         match, before, after = x["0"], x["1"], x["2"]
-        ok = _confirmed(kind.name, match)
-        near = F.lower(F.concat_ws(" ", F.right(before, F.lit(NEAR)), F.left(after, F.lit(NEAR))))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.words), F.lit(BOOST)).otherwise(F.lit(0.0))
+        near = F.lit(NEAR)
         return F.struct(
             F.lit(kind.name).alias("kind"), i.alias("nth"), F.length(before).alias("gap"), F.length(match).alias("size"),
-            (ok & (F.lit(kind.base) | (score >= ACCEPT))).alias("ok"), score.alias("score"),
+            _confirmed(kind.name, match).alias("ok"), F.right(before, near).alias("before"), F.left(after, near).alias("after"),
+            F.right(F.concat(before, match), near).alias("upto"), F.left(F.concat(match, after), near).alias("onward"),
         )
 
     return F.when(text.rlike(kind.pattern), F.transform(F.filter(zipped, lambda x: x["0"].isNotNull()), one))
 
 
+def _near(order: WindowSpec) -> Column:
+    """The ``NEAR`` characters on either side of a match, lower case. Each match or gap adds one at least, so as many neighbours suffice."""
+    earlier = F.collect_list("upto").over(order.rowsBetween(-NEAR, -1))
+    later = F.collect_list("onward").over(order.rowsBetween(1, NEAR))
+    before = F.right(F.concat(F.array_join(earlier, ""), "before"), F.lit(NEAR))
+    # What follows the next match is in that match's piece, so the gap between the two counts once.
+    after = F.left(F.concat("after", F.array_join(later, "")), F.lit(NEAR))
+    return F.lower(F.concat_ws(" ", before, after))
+
+
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and spans, an array of (kind, start, end, score) in code points, end exclusive.
 
@@ -139,10 +148,18 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         .select("doc_id", "place", F.explode_outer(found).alias("m")).select("doc_id", "place", "m.*")
         .repartition("place")
     )
-    order = Window.partitionBy("place", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("size")).over(order)
+    order = Window.partitionBy("place", "kind").orderBy("nth")
+    end = F.sum(F.col("gap") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rank = F.element_at(F.create_map(*[F.lit(x) for n, k in enumerate(KINDS) for x in (k.name, n)]), F.col("kind"))
-    placed = rows.select("doc_id", "place", "kind", "ok", "score", rank.alias("rank"), (end - F.col("size")).alias("start"), end.alias("end"))
+    placed = rows.select(
+        "doc_id", "place", "kind", "ok", rank.alias("rank"), (end - F.col("size")).alias("start"), end.alias("end"), _near(order).alias("near")
+    )
+    score, base = F.lit(None).cast("double"), F.lit(False)
+    for k in KINDS:
+        own = F.col("kind") == k.name
+        score = F.when(own, F.lit(k.score) + F.when(F.col("near").rlike(k.words), F.lit(BOOST)).otherwise(F.lit(0.0))).otherwise(score)
+        base = base | (own & F.lit(k.base))
+    placed = placed.withColumn("score", score).withColumn("ok", F.col("ok") & (base | (F.col("score") >= ACCEPT)))
     span = F.when(F.col("ok"), F.struct("rank", "start", "end", "kind", "score"))
     listed = placed.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans"))
     return listed.select(
