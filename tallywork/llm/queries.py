@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm import bpe as _bpe
+from tallywork.llm import collocations as _collocations
 from tallywork.llm import exact_dedup as _exact
+from tallywork.llm import fill_in_middle as _fim
 from tallywork.llm import line_dedup as _lines
 from tallywork.llm import mixing as _mixing
 from tallywork.llm import pii as _pii
@@ -18,6 +20,7 @@ from tallywork.llm import simhash as _simhash
 from tallywork.llm import suffix_array as _suffixes
 from tallywork.llm import suffix_tree_lm as _lm
 from tallywork.llm import toxicity as _toxicity
+from tallywork.llm import warc as _warc
 from tallywork.llm.common import prepare, table
 
 
@@ -95,6 +98,28 @@ def op10_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, path: str) -> DataFrame:
+    prepare(spark)
+    return _collocations.collocations(table(spark, path, "documents"))
+
+
+def op12_warc(spark: SparkSession, path: str) -> DataFrame:
+    prepare(spark)
+    return _warc.round_trip(table(spark, path, "pages")).drop("uri", "payload")
+
+
+def op13_fill_in_middle(spark: SparkSession, path: str) -> DataFrame:
+    prepare(spark)
+    made = _fim.transform(table(spark, path, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+        F.sha2(_fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op5_lm_scoring, op6_pii, op7_bpe, op8_suffix_array, op9_quality_rules, op10_line_dedup)
+    f.__name__: f for f in (
+        op1_exact_dedup, op2_mixing, op3_toxicity, op4_simhash, op5_lm_scoring, op6_pii, op7_bpe, op8_suffix_array,
+        op9_quality_rules, op10_line_dedup, op11_collocations, op12_warc, op13_fill_in_middle,
+    )
 }

@@ -117,4 +117,65 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM m"""
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op9_quality_rules": OP9, "op10_line_dedup": OP10}
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+  SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 5) AS r(k))
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS words FROM grams WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT c.*, cut, x.f AS l, y.f AS r,
+    CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS cut FROM c) AS c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), parts AS (
+  SELECT lang, a, size, words, unnest(range(2, size)) AS k FROM c
+), gone AS (
+  SELECT DISTINCT c.lang, c.phrase FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM parts) AS p
+  JOIN c ON c.lang = p.lang AND c.phrase = array_to_string(p.words[i:i + k - 1], ' ')
+  WHERE CAST(100 AS HUGEINT) * p.a >= CAST(80 AS HUGEINT) * c.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst ANTI JOIN gone USING (lang, phrase) JOIN totals USING (lang)
+QUALIFY rank <= 2000"""
+
+OP12 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages
+), s AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS largest FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN size >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 1000 AND page_id < largest THEN largest END AS refers_to FROM s"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || doc_id) AS h
+  FROM documents
+), x AS (
+  SELECT doc_id, t, units, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT doc_id, t, n, form, array_to_string(units[1:least(c1, c2)], '') AS prefix,
+    array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(units[greatest(c1, c2) + 1:], '') AS suffix FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+SQL: dict[str, str] = {
+    "op1_exact_dedup": OP1, "op2_mixing": OP2, "op9_quality_rules": OP9, "op10_line_dedup": OP10, "op11_collocations": OP11,
+    "op12_warc": OP12, "op13_fill_in_middle": OP13,
+}
