@@ -33,7 +33,7 @@ SCALE = 2_000_000
 #: A longer phrase with this share of a phrase's count, in hundredths, replaces it.
 SHARE = 80
 #: Tokens that are counted together in a task; bounds its memory.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Rows that leave a task at a time.
 BATCH = 100_000
 #: A text is cut into tokens in slices of about so many bytes.
