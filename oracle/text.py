@@ -34,40 +34,33 @@ def lint(issues: dict[str, str]) -> str:
       FROM found JOIN totals USING (approach) GROUP BY 1, 2"""
 
 
-UP = "upper(sql)"
-FAILURE = [
-    ("avoid_unfiltered_cross_join", "CROSS JOIN without WHERE clause",
-     "Add WHERE clause or use INNER/LEFT JOIN instead", CROSS),
-    ("add_group_by", "Aggregate function without GROUP BY", "Add GROUP BY for non-aggregated columns in SELECT",
-     "contains(lower(error), 'group by')"),
-    ("qualify_columns", "Ambiguous column reference", "Qualify column names with table aliases",
-     "contains(lower(error), 'ambiguous')"),
-    ("check_schema", "Unknown table or column", "Verify identifiers against schema before using",
-     "contains(lower(error), 'does not exist') OR contains(lower(error), 'unknown')"),
-]
-SUCCESS = [
-    ("use_explicit_columns", "SELECT with explicit column list", "Continue using explicit column selection",
-     f"NOT {STAR_SELECT}"),
-    ("prefer_inner_join", "Using INNER JOIN", "Prefer INNER JOIN for better performance",
-     f"contains({UP}, 'INNER JOIN')"),
-    ("proper_group_by", "Correct GROUP BY with aggregates", "Continue proper GROUP BY usage",
-     f"contains({UP}, 'GROUP BY') AND (contains({UP}, 'SUM(') OR contains({UP}, 'AVG('))"),
-]
 
-
-def mined(rules, passed: str, keep: str) -> str:
-    rows = " UNION ALL ".join(
-        f"""SELECT '{i}' AS rule_id, '{p}' AS pattern, '{a}' AS action,
-          CAST(COUNT(*) FILTER (WHERE {flag}) AS DOUBLE) / NULLIF(COUNT(*), 0) AS confidence,
-          COUNT(*) FILTER (WHERE {flag}) AS support FROM log WHERE {passed}"""
-        for i, p, a, flag in rules
+def mined(keep: str) -> str:
+    """Rules of one and two words: in 10 % of an outcome, and half as often again as in the other."""
+    side = """SELECT {good} AS good, words, {own} AS support, {own} / CAST(greatest(size_{own}, 1) AS DOUBLE) AS share,
+      {other} / CAST(greatest(size_{other}, 1) AS DOUBLE) AS other_share, {own} / CAST(failed + passed AS DOUBLE) AS confidence,
+      size_{own} AS size, {own}_ids AS ids FROM counted, sizes"""
+    sides = " UNION ALL ".join(
+        side.format(good=good, own=own, other=other) for good, own, other in (("true", "passed", "failed"), ("false", "failed", "passed"))
     )
-    return f"SELECT * FROM ({rows}) WHERE {keep}"
+    return rf"""WITH t AS (
+        SELECT doc_id, coalesce(quality = 1, false) AS good, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS words
+        FROM labels JOIN documents USING (doc_id)),
+      sizes AS (SELECT count(*) FILTER (NOT good) AS size_failed, count(*) FILTER (good) AS size_passed FROM t),
+      w AS (SELECT doc_id, good, unnest(words) AS word FROM t),
+      often AS (SELECT word FROM w, sizes GROUP BY word HAVING count(*) FILTER (good) >= CAST(0.1 AS DOUBLE) * any_value(size_passed)
+        OR count(*) FILTER (NOT good) >= CAST(0.1 AS DOUBLE) * any_value(size_failed)),
+      f AS (SELECT * FROM w SEMI JOIN often USING (word)),
+      sets AS (SELECT doc_id, good, word AS words FROM f UNION ALL
+        SELECT a.doc_id, a.good, a.word || ' ' || b.word FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.word < b.word),
+      counted AS (SELECT words, count(*) FILTER (NOT good) AS failed, count(*) FILTER (good) AS passed,
+        list_sort(list(doc_id) FILTER (NOT good))[1:3] AS failed_ids, list_sort(list(doc_id) FILTER (good))[1:3] AS passed_ids FROM sets GROUP BY 1)
+      SELECT CASE WHEN good THEN 'keep:' ELSE 'avoid:' END || words AS rule_id, words AS pattern,
+        CASE WHEN good THEN 'prefer' ELSE 'avoid' END AS action, round(confidence, 6) AS confidence, support, round(share, 6) AS share,
+        round(other_share, 6) AS other_share, array_to_string(ids, ',') AS examples
+      FROM ({sides}) WHERE support > 0 AND support >= CAST(0.1 AS DOUBLE) * size AND share >= CAST(1.5 AS DOUBLE) * other_share AND {keep}"""
 
 
-SHOWN = "rule_id, pattern, action, round(confidence, 6) AS confidence, support"
-FAILED = mined(FAILURE, "NOT passed", "support >= 2")
-SUCCEEDED = mined(SUCCESS, "passed", "confidence >= CAST(0.7 AS DOUBLE)")
 BUDGET = """COUNT(*) AS texts, CAST(SUM(w) AS BIGINT) AS words, CAST(SUM(d) AS BIGINT) AS tokens_double,
   CAST(SUM(s) AS BIGINT) AS tokens_scaled, CAST(SUM(d) AS DOUBLE) / COUNT(d) AS avg_tokens, MAX(d) AS max_tokens"""
 SCALED = "CAST(floor({w} * CAST(1.3 AS DOUBLE)) AS BIGINT)"
@@ -95,10 +88,9 @@ GRADE = """SELECT approach, COUNT(*) AS graded, CAST(SUM(CAST(score AS DECIMAL(1
 SQL = {
     "lint_report": lint(ISSUES),
     "lint_report_ext": lint(ISSUES_EXT),
-    "mine_failure_rules": f"WITH {LOG} SELECT {SHOWN} FROM ({FAILED})",
-    "mine_success_rules": f"WITH {LOG} SELECT {SHOWN} FROM ({SUCCEEDED})",
-    "filter_rules": f"""WITH {LOG} SELECT {SHOWN} FROM ({FAILED} UNION ALL {SUCCEEDED})
-      WHERE confidence >= CAST(0.5 AS DOUBLE) AND support >= 2""",
+    "mine_failure_rules": mined("NOT good"),
+    "mine_success_rules": mined("good"),
+    "filter_rules": mined("confidence >= CAST(0.5 AS DOUBLE) AND support >= 2"),
     "token_budget": f"""WITH e AS (SELECT source, lang, {words('text')} AS w FROM documents),
       f AS (SELECT *, w * 2 AS d, {SCALED.format(w='w')} AS s FROM e)
       SELECT source, lang, {BUDGET} FROM f GROUP BY 1, 2""",

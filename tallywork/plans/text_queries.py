@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywork.functions import lint
 from tallywork.functions.numbers import rounded
 from tallywork.operators import textjobs
+from tallywork.operators.rulemining import mine_rules
 from tallywork.plans.registry import query
 from tallywork.sources.querylog import ANSWER, EXAMPLE, query_log
 from tallywork.sources.star import Star
@@ -26,28 +27,37 @@ def lint_report_ext(star: Star) -> DataFrame:
 
 
 def _traces(star: Star) -> DataFrame:
-    return query_log(star).withColumnRenamed("sql", "generated_sql")
+    """Documents whose quality is labelled; good ones passed."""
+    return star.table("labels").join(star.table("documents"), "doc_id").select(
+        F.col("doc_id").alias("id"), "text", (F.col("quality") == 1).alias("passed")
+    )
 
 
 def _flat(rules: DataFrame) -> DataFrame:
-    return rules.select("rule_id", "pattern", "action", rounded(F.col("confidence")).alias("confidence"), "support")
+    words, good = F.array_join("words", " "), F.col("passed")
+    return rules.select(
+        F.concat(F.when(good, "keep:").otherwise("avoid:"), words).alias("rule_id"), words.alias("pattern"),
+        F.when(good, "prefer").otherwise("avoid").alias("action"), rounded(F.col("confidence")).alias("confidence"), "support",
+        rounded(F.col("share")).alias("share"), rounded(F.col("other_share")).alias("other_share"),
+        F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"),
+    )
 
 
 @query()
 def mine_failure_rules(star: Star) -> DataFrame:
-    return _flat(textjobs.mine_failure_rules(_traces(star)))
+    """Words and pairs of words that mark documents of low quality."""
+    return _flat(mine_rules(_traces(star), outcomes=[False]))
 
 
 @query()
 def mine_success_rules(star: Star) -> DataFrame:
-    return _flat(textjobs.mine_success_rules(_traces(star)))
+    """Words and pairs of words that mark documents of good quality."""
+    return _flat(mine_rules(_traces(star), outcomes=[True]))
 
 
 @query()
 def filter_rules(star: Star) -> DataFrame:
-    traces = _traces(star)
-    mined = textjobs.mine_failure_rules(traces).unionByName(textjobs.mine_success_rules(traces))
-    return _flat(textjobs.filter_rules(mined))
+    return _flat(textjobs.filter_rules(mine_rules(_traces(star))))
 
 
 @query()
