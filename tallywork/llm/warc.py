@@ -27,6 +27,8 @@ from tallywork.session import new_folder
 SHARED_BYTES = 1000
 #: At most so many records go to one file, so that a normalising task has an end.
 FILE_RECORDS = 20_000
+#: Bytes of archives that one reading task is given.
+TASK_BYTES = 64 << 20
 #: Bytes inflated, or handed to Spark, at a time.
 CHUNK = 1 << 20
 BATCH = 8 << 20
@@ -243,7 +245,11 @@ def read_records(index: DataFrame) -> DataFrame:
     A revisit has a null payload and the length of the one it refers to. Neighbours in an archive are read together, and
     an archive by as many tasks as the index spreads over.
     """
-    spread = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    places = index.select("archive", "offset", "length")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    # Rows of the index are short and what they point at is not: a number by those bytes, which Spark keeps.
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    spread = places.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return spread.mapInArrow(_fetched, RECORD)
 
 
