@@ -36,7 +36,7 @@ def lint(issues: dict[str, str]) -> str:
 
 
 def mined(keep: str) -> str:
-    """Rules of one and two words: in 10 % of an outcome, and half as often again as in the other."""
+    """Rules of one and two words: in 5 % of an outcome, and twice as often as in the other."""
     side = """SELECT {good} AS good, words, {own} AS support, {own} / CAST(greatest(size_{own}, 1) AS DOUBLE) AS share,
       {other} / CAST(greatest(size_{other}, 1) AS DOUBLE) AS other_share, {own} / CAST(failed + passed AS DOUBLE) AS confidence,
       size_{own} AS size, {own}_ids AS ids FROM counted, sizes"""
@@ -48,8 +48,8 @@ def mined(keep: str) -> str:
         FROM labels JOIN documents USING (doc_id)),
       sizes AS (SELECT count(*) FILTER (NOT good) AS size_failed, count(*) FILTER (good) AS size_passed FROM t),
       w AS (SELECT doc_id, good, unnest(words) AS word FROM t),
-      often AS (SELECT word FROM w, sizes GROUP BY word HAVING count(*) FILTER (good) >= CAST(0.1 AS DOUBLE) * any_value(size_passed)
-        OR count(*) FILTER (NOT good) >= CAST(0.1 AS DOUBLE) * any_value(size_failed)),
+      often AS (SELECT word FROM w, sizes GROUP BY word HAVING count(*) FILTER (good) >= CAST(0.05 AS DOUBLE) * any_value(size_passed)
+        OR count(*) FILTER (NOT good) >= CAST(0.05 AS DOUBLE) * any_value(size_failed)),
       f AS (SELECT * FROM w SEMI JOIN often USING (word)),
       sets AS (SELECT doc_id, good, word AS words FROM f UNION ALL
         SELECT a.doc_id, a.good, a.word || ' ' || b.word FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.word < b.word),
@@ -58,7 +58,7 @@ def mined(keep: str) -> str:
       SELECT CASE WHEN good THEN 'keep:' ELSE 'avoid:' END || words AS rule_id, words AS pattern,
         CASE WHEN good THEN 'prefer' ELSE 'avoid' END AS action, round(confidence, 6) AS confidence, support, round(share, 6) AS share,
         round(other_share, 6) AS other_share, array_to_string(ids, ',') AS examples
-      FROM ({sides}) WHERE support > 0 AND support >= CAST(0.1 AS DOUBLE) * size AND share >= CAST(1.5 AS DOUBLE) * other_share AND {keep}"""
+      FROM ({sides}) WHERE support > 0 AND support >= CAST(0.05 AS DOUBLE) * size AND share >= CAST(2 AS DOUBLE) * other_share AND {keep}"""
 
 
 BUDGET = """COUNT(*) AS texts, CAST(SUM(w) AS BIGINT) AS words, CAST(SUM(d) AS BIGINT) AS tokens_double,

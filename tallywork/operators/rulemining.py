@@ -176,7 +176,7 @@ def word_sets(traces: DataFrame, share: float, longest: int = 2) -> tuple[DataFr
 
 
 def mine_rules(
-    traces: DataFrame, share: float = 0.1, contrast: float = 1.5, longest: int = 2, outcomes: Sequence[bool] = (False, True)
+    traces: DataFrame, share: float = 0.05, contrast: float = 2.0, longest: int = 2, outcomes: Sequence[bool] = (False, True)
 ) -> DataFrame:
     """Rules "a text with these words fails / passes": words, passed, support, share, other_share, confidence, examples.
 
