@@ -48,6 +48,57 @@ def test_frontier_of_frontier_and_ties_and_nulls(spark):
     assert skyline.pareto_frontier(df.limit(0), ["a", "b"]).count() == 0
 
 
+def anti_correlated(n, dims, seed):
+    """Points near a plane of constant sum: most are on the frontier."""
+    rng = np.random.default_rng(seed)
+    raw = rng.dirichlet(np.ones(dims), n) + rng.normal(0, 0.002, (n, dims))
+    return np.round(raw, 6)
+
+
+@pytest.mark.parametrize("dims", [2, 3, 4])
+def test_grid_is_exact_on_anti_correlated_rows(spark, dims, monkeypatch):
+    monkeypatch.setattr(skyline, "CELL_ROWS", 16)
+    rows_ = anti_correlated(1500, dims, dims)
+    df, names = frame(spark, dict(enumerate(rows_.tolist())))
+    got = {r.id for r in skyline.pareto_frontier(df.repartition(4), names, 60).collect()}
+    assert got == set(np.flatnonzero(~skyline.dominated_by(rows_, rows_)).tolist()) and len(got) > 20
+
+
+def test_fewer_than_quadratic_pairs_are_compared(spark):
+    """Eight times the rows: 64 times the pairs would be quadratic; the grid's finer cells keep it well below."""
+    compared = []
+    for n in (4000, 32000):
+        df, names = frame(spark, dict(enumerate(anti_correlated(n, 3, 5).tolist())))
+        _, plan = skyline.grid_plan(df.select(*names), names)
+        assert plan.compared < n * n / 3
+        compared.append(plan.compared)
+    assert compared[1] < 32 * compared[0]
+
+
+def test_cells_that_meet():
+    """On a 3 x 3 grid: the cell above both drops the lower left; the corners on the diagonal never meet."""
+    plan = skyline.plan_grid({0: 9, 2: 5, 4: 3, 6: 4, 1: 2}, [3, 3])
+    assert set(plan.against) == {2, 4, 6, 1} and plan.against[4] == [4] and plan.against[2] == [2]
+    assert sorted(plan.against[1]) == [1, 2, 4]
+    assert plan.compared == 5 * 5 + 3 * 3 + 4 * 4 + 2 * (2 + 5 + 3)
+    assert skyline.plan_grid({}, [2, 2]).compared == 0
+
+
+def test_no_comparable_value(spark):
+    df = spark.createDataFrame([(1, float("nan"), 9.0), (2, 1.0, 1.0), (3, 0.0, 0.0), (4, float("inf"), 0.0)], "id long, a double, b double")
+    assert rows(skyline.pareto_frontier(df, ["a", "b"]), "id") == [(1,), (2,), (4,)]
+
+
+def test_archive_by_generations_is_the_frontier_of_all(spark):
+    rng = np.random.default_rng(2)
+    points = {i: p for i, p in enumerate(rng.integers(0, 30, (300, 3)).tolist())}
+    df, names = frame(spark, points)
+    archive = df.limit(0)
+    for part in range(3):
+        archive = skyline.insert_generation(archive, df.filter(F.col("id") % 3 == part), names)
+    assert {r.id for r in archive.collect()} == brute(points)
+
+
 A = ob.Objective("a", 3.0)
 B = ob.Objective("b", 1.0, inverse=True)
 
