@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 import os
 import shutil
 import tempfile
@@ -71,12 +72,18 @@ def still_there(path: str | None) -> bool:
     return path in _WRITTEN
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Remove all tables written to the shared folder so far, once the results that read them are done with."""
+def scratch_paths() -> list[str]:
+    """The folders of ``new_folder`` that are still there."""
+    return list(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession, only: Iterable[str] | None = None) -> int:
+    """Remove tables written to the shared folder (all, or ``only`` some), once the results that read them are done with."""
     paths, files = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _WRITTEN:
-        path = paths.Path(_WRITTEN.pop())
+    for name in set(_WRITTEN) if only is None else set(only) & set(_WRITTEN):
+        _WRITTEN.remove(name)
+        path = paths.Path(name)
         dropped += path.getFileSystem(files).delete(path, True)
     return dropped
 
