@@ -31,6 +31,10 @@ SQL["kpi_at_grain"] = (
     f"WITH {SALES} SELECT region, {PROFIT} / NULLIF({REV}, 0) AS profit_margin FROM sales GROUP BY 1"
 )
 SQL["kpi_at_grain_total"] = f"WITH {SALES} SELECT {REV} / NULLIF(COUNT(DISTINCT order_id), 0) AS aov FROM sales"
+SQL["kpi_all_grains"] = f"""WITH {SALES} SELECT GROUPING(order_date, region, customer_segment, product_category) AS level,
+  order_date, region, customer_segment, product_category, {REV} AS revenue, COUNT(*) AS lines, COUNT(DISTINCT customer_id) AS customers,
+  {REV} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer
+  FROM sales GROUP BY CUBE (order_date, region, customer_segment, product_category)"""
 SQL["measure_totals"] = f"""WITH {SALES} SELECT {REV} AS total_revenue, COUNT(DISTINCT order_id) AS total_orders,
   coalesce({REV} / NULLIF(COUNT(DISTINCT order_id), 0), 0) AS avg_order_value FROM sales"""
 SQL["measure_yoy_growth"] = f"""WITH {FACT}, m AS (

@@ -26,6 +26,12 @@ query("kpi_at_grain")(partial(_kpi, spec=KPIS["profit_margin"], grain=["region"]
 query("kpi_at_grain_total")(partial(_kpi, spec=KPIS["aov"], grain=[]))
 
 
+@query()
+def kpi_all_grains(star: Star) -> DataFrame:
+    """Revenue and customers at every subset of the revenue grain."""
+    return kpis.kpis_at_all_grains(star, KPIS["revenue"].grain)
+
+
 @query()
 def measure_totals(star: Star) -> DataFrame:
     return kpis.measure_totals(order_facts(star, [], ["revenue"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywork.functions.numbers import ratio
 from tallywork.operators import orderfacts as of
+from tallywork.operators.lattice import cube
 from tallywork.plans.kpi_specs import KpiSpec, KpiTest
 from tallywork.sources.star import Star
 
@@ -41,6 +42,19 @@ def kpis_over_facts(star: Star, specs: Sequence[KpiSpec], grain: Sequence[str])
     )
 
 
+def kpis_at_all_grains(star: Star, grain: Sequence[str]) -> DataFrame:
+    """Revenue, lines, distinct customers and revenue per customer for every subset of ``grain``, lines read once.
+
+    ``level`` tells the subset, as GROUPING does.
+    """
+    facts = of.order_facts(star, grain, ["revenue"])
+    sums = ["revenue_hi", "revenue_lo", "line_count"]
+    found = cube(facts, grain, sums, "customer_id", [of.revenue().alias("revenue"), F.sum("line_count").alias("lines")])
+    return found.withColumnRenamed("members", "customers").withColumn(
+        "revenue_per_customer", ratio(F.col("revenue"), F.col("customers"))
+    )
+
+
 def measure_totals(orders: DataFrame) -> DataFrame:
     """Total Revenue, Total Orders and their quotient, 0 where there is no order."""
     count = of.order_count()
