@@ -64,19 +64,10 @@ def mined(keep: str) -> str:
 BUDGET = """COUNT(*) AS texts, CAST(SUM(w) AS BIGINT) AS words, CAST(SUM(d) AS BIGINT) AS tokens_double,
   CAST(SUM(s) AS BIGINT) AS tokens_scaled, CAST(SUM(d) AS DOUBLE) / COUNT(d) AS avg_tokens, MAX(d) AS max_tokens"""
 SCALED = "CAST(floor({w} * CAST(1.3 AS DOUBLE)) AS BIGINT)"
-ANSWER = """CASE event_id % 3
-  WHEN 0 THEN 'Here is the query:' || chr(10) || '```sql' || chr(10) || sql || chr(10) || '```' || chr(10) || 'It reads one table.'
-  WHEN 1 THEN 'Query:' || chr(10) || '```' || chr(10) || sql || chr(10) || '```'
-  ELSE ' ' || sql || ' ' END"""
-ANSWERS = f"""{LOG}, answers AS (SELECT *, {ANSWER} AS answer FROM log), extracted AS (SELECT *, """ + strip(
+ANSWERS = """answers AS (SELECT *, coalesce(text, '') AS answer FROM conversations), extracted AS (SELECT *, """ + strip(
     """CASE WHEN contains(answer, '```sql') THEN split_part(split_part(answer, '```sql', 2), '```', 1)
       WHEN contains(answer, '```') THEN split_part(split_part(answer, '```', 2), '```', 1) ELSE answer END"""
 ) + " AS extracted_sql FROM answers)"
-TABLES = ("orders", "customers", "products", "fact_orders", "dim_customer")
-EXAMPLES = f"""{LOG}, examples AS (SELECT CASE WHEN event_type = 'error' THEN 'Task: report for user ' || user_id
-  WHEN event_id % 2 = 0 THEN 'Task: report for user ' || user_id || chr(10) || 'SQL: ' || sql
-  ELSE 'Task: report for user ' || user_id || chr(92) || 'nSQL: ' || sql END AS text FROM log),
-  lines AS (SELECT string_split(replace(text, chr(92) || 'n', chr(10)), chr(10)) AS l FROM examples)"""
 RAW = "CAST(coalesce(TRY_CAST(raw_score AS DOUBLE) / 10, CAST(0.5 AS DOUBLE)) AS DOUBLE)"
 GRADED = f"""{LOG}, graded AS (SELECT approach,
   CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(user_id % 11 AS VARCHAR) END AS raw_score,
@@ -97,20 +88,26 @@ SQL = {
     "token_budget_with_rationale": f"""WITH {LOG},
       e AS (SELECT approach, {words('sql')} AS w, {words("coalesce(error, 'as asked')")} AS r FROM log),
       f AS (SELECT *, w * 2 + r AS d, {SCALED.format(w='w')} AS s FROM e) SELECT approach, {BUDGET} FROM f GROUP BY 1""",
-    "extract_fenced_sql": f"WITH {ANSWERS} SELECT task_id, extracted_sql FROM extracted",
-    "extraction_yield": f"""WITH {ANSWERS} SELECT approach, COUNT(*) AS answers,
+    "extract_fenced_sql": f"WITH {ANSWERS} SELECT conv_id, turn, extracted_sql FROM extracted WHERE role = 'assistant'",
+    "extraction_yield": f"""WITH {ANSWERS} SELECT role, COUNT(*) AS answers,
       COUNT(*) FILTER (WHERE contains(answer, '```')) AS fenced,
       COUNT(*) FILTER (WHERE length(extracted_sql) > 0) AS extracted FROM extracted GROUP BY 1""",
-    "table_usage": f"WITH {LOG} " + " UNION ALL ".join(
-        rf"SELECT '{t}' AS table_name, COUNT(*) FILTER (WHERE regexp_matches(sql, '(?i)\b{t}\b')) AS queries FROM log"
-        for t in TABLES),
+    "table_usage": r"""WITH names AS (SELECT DISTINCT lower(name) AS name FROM (SELECT c_name AS name FROM customer
+        UNION ALL SELECT p_name FROM part UNION ALL SELECT text FROM benchmark) WHERE name <> ''),
+      texts AS (SELECT lower(text) AS text FROM documents UNION ALL SELECT lower(text) FROM conversations),
+      near AS MATERIALIZED (SELECT name, text FROM names JOIN texts ON contains(text, name)),
+      found AS (SELECT name, count(*) AS texts FROM near WHERE regexp_matches(text,
+        CASE WHEN regexp_matches(name, '^\w') THEN '\b' ELSE '' END || regexp_escape(name) || CASE WHEN regexp_matches(name, '\w$') THEN '\b' ELSE '' END)
+        GROUP BY 1)
+      SELECT name, coalesce(texts, 0) AS texts FROM names LEFT JOIN found USING (name)""",
     "prompt_by_type": """SELECT conv_id, section, row_number() OVER (PARTITION BY conv_id, section ORDER BY turn) AS position,
       text FROM (SELECT *, CASE role WHEN 'system' THEN 'system' WHEN 'user' THEN 'fewshots' WHEN 'assistant' THEN 'guards' END
         AS section FROM conversations) WHERE section IS NOT NULL""",
     "duplicate_components": """SELECT CAST('0x' || substr(md5(lang || ':' || text), 1, 8) AS BIGINT) AS content_key,
       COUNT(*) AS copies FROM documents GROUP BY 1 HAVING COUNT(*) > 1""",
-    "fewshot_pairs": f"""WITH {EXAMPLES} SELECT DISTINCT {strip("replace(l[1], 'Task:', '')")} AS nl,
-      {strip("replace(l[2], 'SQL:', '')")} AS sql FROM lines WHERE len(l) >= 2""",
+    "fewshot_pairs": f"""WITH {ANSWERS}, n AS (SELECT role, extracted_sql AS sql, lag(role) OVER w AS before, lag(answer) OVER w AS question
+        FROM extracted WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT DISTINCT {strip("question")} AS nl, sql FROM n WHERE role = 'assistant' AND before = 'user'""",
     "grade_summary": f"""WITH {GRADED}, s AS (SELECT *, {RAW} * CASE WHEN syntax_ok THEN CAST(1 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END
         * CASE WHEN flawed THEN CAST(0.9 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM graded),
       g AS (SELECT *, score >= CAST(0.7 AS DOUBLE) AND syntax_ok AS passed FROM s) {GRADE}""",

@@ -68,3 +68,39 @@ def with_position(
 ) -> DataFrame:
     """``df`` plus its 1-based place in the global (or per-group) order."""
     return running_total(df, order_by, F.lit(1).cast("long"), out, partition_by)
+
+
+def with_previous(
+    df: DataFrame, order_by: Sequence[Column], columns: Sequence[str], out: str = "previous", partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """``df`` plus a struct of ``columns`` of the row before in its group; null for a group's first row.
+
+    Within a range partition that is a plain lag. The first row of a group in a partition takes the group's last row of the
+    partitions before, the carry.
+    """
+    groups = [F.col(c) for c in partition_by]
+    placed = materialise(
+        df.repartitionByRange(*groups, *order_by).withColumn(PLACE, F.spark_partition_id())
+    )
+    row = F.struct(*columns)
+    within = Window.partitionBy(PLACE, *partition_by).orderBy(*order_by)
+    local = placed.select("*", F.lag(row).over(within).alias(out), F.row_number().over(within).alias("__nth")).alias("l")
+    # One row per partition and group: its last one.
+    ends = placed.select(
+        PLACE, *groups, row.alias(out), F.row_number().over(Window.partitionBy(PLACE, *partition_by).orderBy(*[_reverse(c) for c in order_by])).alias("__nth")
+    ).filter("__nth = 1").drop("__nth")
+    by_place = Window.partitionBy(*partition_by).orderBy(PLACE)
+    carry = ends.select(PLACE, *groups, F.lag(out).over(by_place).alias("__carried")).filter("__carried is not null").alias("c")
+    same = [F.col(f"l.{PLACE}") == F.col(f"c.{PLACE}")]
+    same += [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in partition_by]
+    joined = local.join(F.broadcast(carry), reduce(Column.__and__, same), "left")
+    first = F.col("l.__nth") == 1
+    return joined.select(
+        *[F.col(f"l.{c}").alias(c) for c in df.columns],
+        F.when(first, F.col("c.__carried")).otherwise(F.col(f"l.{out}")).alias(out),
+    )
+
+
+def _reverse(column: Column) -> Column:
+    """The opposite order of a column that is not marked as descending."""
+    return column.desc_nulls_last()

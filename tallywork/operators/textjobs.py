@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywork.functions import lint, text
 from tallywork.functions.numbers import ratio, rounded
-from tallywork.operators.globalorder import with_position
+from tallywork.operators.globalorder import with_position, with_previous
 
 
 def lint_report(
@@ -202,6 +202,21 @@ def fewshot_pairs(components: DataFrame, content: str = "text") -> DataFrame:
     ).distinct()
 
 
+def dialogue_pairs(turns: DataFrame, conversation: str, order: str, role: str, content: str) -> DataFrame:
+    """conversation, order, nl, sql: each answer with the question right before it, fences and outer white space removed.
+
+    A question is a ``user`` turn and an answer the next turn of the conversation if it is the ``assistant``'s. Turns find
+    their neighbour across partitions, so a conversation may be of any length. Null texts count as empty; of turns that
+    repeat an order the text decides which comes first.
+    """
+    read = turns.select(conversation, order, role, F.coalesce(content, F.lit("")).alias("text"))
+    near = with_previous(read, [F.col(order), F.col("text"), F.col(role)], [role, "text"], "previous", [conversation])
+    answers = near.filter((F.col(role) == "assistant") & (F.col(f"previous.{role}") == "user"))
+    return answers.select(
+        conversation, order, text.strip(F.col("previous.text")).alias("nl"), text.fenced_sql(F.col("text")).alias("sql")
+    )
+
+
 def grade(graded: DataFrame) -> DataFrame:
     """``raw_score`` text, ``syntax_ok``, ``anti_patterns`` count → ``score``, ``passed``."""
     raw = F.when(text.is_number(F.col("raw_score")), F.col("raw_score").try_cast("double") / 10)

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from tallywork.functions import lint
 from tallywork.functions.numbers import rounded
 from tallywork.operators import textjobs
+from tallywork.operators.mentions import mentions
 from tallywork.operators.rulemining import mine_rules
 from tallywork.plans.registry import query
-from tallywork.sources.querylog import ANSWER, EXAMPLE, query_log
+from tallywork.sources.querylog import query_log
 from tallywork.sources.star import Star
 
-KNOWN_TABLES = ("orders", "customers", "products", "fact_orders", "dim_customer")
-
 
 @query()
 def lint_report(star: Star) -> DataFrame:
@@ -71,21 +70,28 @@ def token_budget_with_rationale(star: Star) -> DataFrame:
     return textjobs.token_budget(log, "sql", ["approach"], rationale="rationale")
 
 
+def _answers(star: Star) -> DataFrame:
+    return star.table("conversations").withColumn("answer", F.coalesce("text", F.lit("")))
+
+
 @query()
 def extract_fenced_sql(star: Star) -> DataFrame:
-    answers = query_log(star).withColumn("answer", F.expr(ANSWER))
-    return textjobs.extract_fenced_sql(answers).select("task_id", "extracted_sql")
+    """What the assistant's turns hold once fences are taken off."""
+    answers = _answers(star).filter("role = 'assistant'")
+    return textjobs.extract_fenced_sql(answers).select("conv_id", "turn", "extracted_sql")
 
 
 @query()
 def extraction_yield(star: Star) -> DataFrame:
-    answers = query_log(star).withColumn("answer", F.expr(ANSWER))
-    return textjobs.extraction_yield(textjobs.extract_fenced_sql(answers), ["approach"])
+    return textjobs.extraction_yield(textjobs.extract_fenced_sql(_answers(star)), ["role"])
 
 
 @query()
 def table_usage(star: Star) -> DataFrame:
-    return textjobs.table_usage(query_log(star), KNOWN_TABLES)
+    """Documents and turns that mention each customer, part or benchmark passage."""
+    names = star.table("customer").select(F.col("c_name").alias("name")).union(star.table("part").select("p_name"))
+    texts = star.table("documents").select("text").union(star.table("conversations").select("text"))
+    return mentions(texts, "text", names.union(star.table("benchmark").select("text")), "name")
 
 
 @query()
@@ -102,7 +108,8 @@ def duplicate_components(star: Star) -> DataFrame:
 
 @query()
 def fewshot_pairs(star: Star) -> DataFrame:
-    return textjobs.fewshot_pairs(query_log(star).withColumn("text", F.expr(EXAMPLE)))
+    """Questions and answers of neighbouring turns."""
+    return textjobs.dialogue_pairs(star.table("conversations"), "conv_id", "turn", "role", "text").select("nl", "sql").distinct()
 
 
 def _graded(star: Star) -> DataFrame:

@@ -29,16 +29,6 @@ ERROR = """CASE event_id % 4
   WHEN 2 THEN 'Table sales_' || user_id || ' does not exist'
   ELSE 'Timeout' END"""
 
-ANSWER = """CASE event_id % 3
-  WHEN 0 THEN 'Here is the query:\\n```sql\\n' || sql || '\\n```\\nIt reads one table.'
-  WHEN 1 THEN 'Query:\\n```\\n' || sql || '\\n```'
-  ELSE ' ' || sql || ' ' END"""
-
-EXAMPLE = """CASE
-  WHEN event_type = 'error' THEN 'Task: report for user ' || user_id
-  WHEN event_id % 2 = 0 THEN 'Task: report for user ' || user_id || '\\nSQL: ' || sql
-  ELSE 'Task: report for user ' || user_id || '\\\\nSQL: ' || sql END"""
-
 
 def query_log(star: Star) -> DataFrame:
     """``task_id, approach, genome_id, sql, tokens, latency, score, passed, error``."""
