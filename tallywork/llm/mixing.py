@@ -14,11 +14,13 @@ that fills no further source is the right one. That table has one row per source
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywork.llm.common import ROW, boxed, named, row_keys, store, text_of, unboxed
-from tallywork.operators.globalorder import running_total
+from tallywork.session import materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -46,6 +48,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return levels.select("source", "source_size", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
+def prefix_sums(rows: DataFrame, order_by: Sequence[str], value: str, out: str, group: str) -> DataFrame:
+    """``rows`` plus, in ``out``, the sum of ``value`` over its group up to and with itself, in the order of ``order_by``.
+
+    The rows are range-sorted by group and order, so a group spreads over partitions. Each partition sums its part of a
+    group; the sums of the partitions before, at most one row per partition, are added as a carry. Both steps must see
+    the same partitions, hence the checkpoint.
+    """
+    sorted_rows = materialise(rows.repartitionByRange(group, *order_by).withColumn("part", F.spark_partition_id()))
+    totals = sorted_rows.groupBy(group, "part").agg(F.sum(value).alias("total"))
+    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carries = totals.select(F.col(group).alias("of_group"), F.col("part").alias("of_part"), F.sum("total").over(earlier).alias("carry"))
+    here = Window.partitionBy("part", group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sorted_rows.withColumn(out, F.sum(value).over(here))
+    # Only groups that go on from one partition to the next have a carry: fewer than there are partitions.
+    carried = summed.join(
+        F.broadcast(carries.filter("carry is not null")), (F.col("part") == F.col("of_part")) & F.col(group).eqNullSafe(F.col("of_group")), "left"
+    )
+    return carried.select(*rows.columns, (F.col(out) + F.coalesce("carry", F.lit(0))).alias(out))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
@@ -53,21 +75,20 @@ def mix(
     """One row per input row: doc_id, source, size, source_size, target, taken, no_id, text_hash.
 
     ``size`` counts words (null text: none), ``taken`` the words that the mix takes, repeats counted. A
-    null source is a source; documents without words are never taken. The order, and so the result,
-    depends on the ids and ``seed`` alone; rows that repeat an id come in input order.
+    null source is a source; documents without words are never taken. The order, and so the result, depends on the ids
+    and ``seed`` alone; rows that repeat an id, or have none, come in the order of their texts' hashes.
     """
     rows = store(
         docs.select(
             *[c.alias(n) for n, c in row_keys(id_col, text_col).items() if n != "id"],
             named(id_col).alias("doc_id"), named(source_col).alias("source"),
             F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-            F.md5(F.concat_ws(":", F.lit(seed), named(id_col).cast("string"))).alias("key"),
-            F.monotonically_increasing_id().alias("place"),
+            F.md5(F.concat_ws(":", F.lit(seed), named(id_col).cast("string"), F.when(named(id_col).isNull(), F.xxhash64(text_of(text_col))))).alias("key"),
         ),
         "sizes",
     )
     goals = store(targets(rows, weights, max_epochs), "targets")
-    summed = running_total(rows, [F.col("key"), F.col("doc_id"), F.col("place")], F.col("size"), "upto", ["source"])
+    summed = prefix_sums(rows, ["key", "doc_id", "text_hash", "size"], "size", "upto", "source")
     budget = F.round("target").cast("long")
     epochs = F.coalesce(F.floor(F.try_divide(budget.cast("decimal(38,0)"), F.col("source_size"))).cast("long"), F.lit(0))
     left = F.col("budget") - F.col("epochs") * F.col("source_size")

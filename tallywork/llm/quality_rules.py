@@ -5,9 +5,11 @@ a bucket of its own. Sketches merge by adding counts, so the result does not dep
 of merging, a hot source is summed on the map side, and a quantile is within half a bucket
 (``GROWTH`` - 1) of the exact one. Documents that fail the base rules stay out of the sketches.
 
-A document is rejected if one of its measures lies above its group's fence, q75 + SPREAD * (q75 - q25),
-which is moved up to ``GAPS`` above the median where a group hardly varies. Groups below
-``MIN_GROUP`` documents use the sketch of all documents.
+A document is rejected if one of its measures lies above its group's fence, q80 + ``SPREAD`` * the group's spread. The
+spread is q80 - q50; where a group hardly varies it is what the least step of the numerator makes in a text of median
+length, which the sketch of the denominators gives, so no fence is a constant. A fifth of junk does not move a fence. The
+fences of a source, its language and all documents are blended by their numbers of documents, the wider one counting as
+``PRIOR`` documents.
 """
 
 from __future__ import annotations
@@ -23,18 +25,18 @@ from pyspark.sql import types as T
 from tallywork.llm.common import ROW, boxed, named, store, text_of, unboxed
 
 GROWTH = 1.02
-SPREAD = 6.0
-MIN_GROUP = 100
+SPREAD = 8.0
+PRIOR = 100
 ZERO_BUCKET = -1_000_000
-#: Measures (numerator, denominator) and the least distance of a fence from the median.
+#: Measures: numerator, denominator and the least step of the numerator (a window of three words that occurs twice).
 MEASURES = {
-    "word_length": ("word_chars", "n_words"),
-    "symbols": ("n_symbols", "n_words"),
-    "repeats": ("n_repeat_words", "n_words"),
-    "dup_lines": ("n_dup_lines", "n_lines"),
-    "capitals": ("n_capitals", "word_chars"),
+    "word_length": ("word_chars", "n_words", 1),
+    "symbols": ("n_symbols", "n_words", 1),
+    "repeats": ("n_repeat_words", "n_words", 6),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "capitals": ("n_capitals", "word_chars", 1),
 }
-GAPS = {"word_length": 6.0, "symbols": 0.3, "repeats": 0.4, "dup_lines": 0.4, "capitals": 0.4}
+DENOMINATORS = ("n_words", "n_lines", "word_chars")
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 1
@@ -80,7 +82,7 @@ def base_failed():
 
 
 def measure(name: str):
-    top, bottom = MEASURES[name]
+    top, bottom, _ = MEASURES[name]
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
@@ -89,8 +91,8 @@ def bucket(value):
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): one mergeable sketch per group and measure."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES])
+    """(lang, source, measure, bucket, n): one mergeable sketch per group and measure or denominator."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in (*MEASURES, *DENOMINATORS)])
     return (
         measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(pairs).alias("at"))
         .groupBy("lang", "source", "at.measure", "at.bucket").agg(F.count("*").alias("n"))
@@ -98,7 +100,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Fence and size of each group from its merged sketch; a sketch has a bounded number of buckets."""
+    """(keys, measure, size, fence) from each group's merged sketches; a sketch has a bounded number of buckets."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy(*keys, "measure").orderBy("bucket")
     counted = merged.select(
@@ -109,24 +111,35 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     value = F.when(F.col("bucket") == ZERO_BUCKET, F.lit(0.0)).otherwise(
         2 * F.pow(F.lit(GROWTH), F.col("bucket").cast("double")) / (GROWTH + 1)
     )
-    at = {q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("size")), value)) for q in (0.25, 0.5, 0.75)}
-    gap = F.element_at(F.create_map(*[F.lit(x) for pair in GAPS.items() for x in pair]), F.col("measure"))
-    quantiles = counted.groupBy(*keys, "measure").agg(
-        F.max("size").alias("size"), at[0.25].alias("q25"), at[0.5].alias("q50"), at[0.75].alias("q75"),
-    )
-    return quantiles.select(
-        *keys, "measure", "size",
-        F.greatest(F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")), F.col("q50") + gap).alias("fence"),
+
+    def quantile(name: str, q: float):
+        return F.min(F.when((F.col("measure") == name) & (F.col("upto") >= F.ceil(q * F.col("size"))), value))
+
+    wide = counted.groupBy(*keys).agg(
+        F.max("size").alias("size"), *[quantile(d, 0.5).alias(f"of_{d}") for d in DENOMINATORS],
+        *[quantile(m, q).alias(f"{m}_{q}") for m in MEASURES for q in (0.5, 0.8)],
     )
+    rows = []
+    for m, (_, bottom, step) in MEASURES.items():
+        middle, high = F.col(f"`{m}_0.5`"), F.col(f"`{m}_0.8`")
+        spread = F.greatest(high - middle, F.lit(float(step)) / F.col(f"of_{bottom}"))
+        rows.append(F.struct(F.lit(m).alias("measure"), (high + SPREAD * spread).alias("fence")))
+    return wide.select(*keys, "size", F.explode(F.array(*rows)).alias("at")).select(*keys, "at.measure", "size", "at.fence")
+
+
+def _blend(fence, size, wider):
+    return (size * fence + PRIOR * wider) / (size + PRIOR)
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source): a fence for each measure."""
-    own = _fences(sketch, ["lang", "source"])
-    everything = _fences(sketch, []).select("measure", F.col("fence").alias("general"))
-    chosen = own.join(everything, "measure").select(
-        "lang", "source", "measure",
-        F.when(F.col("size") >= MIN_GROUP, F.col("fence")).otherwise(F.col("general")).alias("fence"),
+    """One row per (lang, source): a fence for each measure, blended with those of the language and of all documents."""
+    own, by_lang = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"])
+    every = _fences(sketch, []).select("measure", F.col("fence").alias("general"))
+    wider = by_lang.join(every, "measure").select(
+        F.col("lang").alias("of_lang"), F.col("measure").alias("of"), _blend(F.col("fence"), F.col("size"), F.col("general")).alias("wider")
+    )
+    chosen = own.join(wider, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of"))).select(
+        "lang", "source", "measure", _blend(F.col("fence"), F.col("size"), F.col("wider")).alias("fence")
     )
     return chosen.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"max_{m}") for m in MEASURES]
@@ -158,7 +171,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: base counts, base_failed, the measures, their fences and ``kept``.
 
     A null text has no words (and fails the base rules); a null language or source is a group of
-    its own. Repeated rows count as often as they occur. Other columns are not read.
+    its own. Repeated rows count as often as they occur, a long text is read whole, and an empty table gives an empty result. Other columns are not read.
     """
     picked = docs.select(
         named(id_col).alias("doc_id"), named("lang").alias("lang"), named("source").alias("source"),
@@ -168,6 +181,6 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep. Texts are stored once, not shuffled."""
+    """The rows of ``docs``, all columns, that the rules keep; null and empty texts fail the base rules. Texts are stored once, not shuffled."""
     box = boxed(docs, lang=named("lang"), source=named("source"), text=text_of(text_col))
     return unboxed(_judge(store(_measured(box), "measured_rows")).filter("kept").select(ROW))

@@ -60,22 +60,25 @@ SELECT s.doc_id, count(*) FILTER (s.line <> '') AS n_lines, count(g.place) AS n_
   sha256(coalesce(string_agg(s.raw, chr(10) ORDER BY s.place) FILTER (g.place IS NULL), '')) AS kept_sha256
 FROM lines s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place GROUP BY s.doc_id"""
 
-# Measures with the least distance of a fence from the median, as in the quality rules.
-_GAPS = {"word_length": 6.0, "symbols": 0.3, "repeats": 0.4, "dup_lines": 0.4, "capitals": 0.4}
+# Measures with their denominator and least step, as in the quality rules.
+_STEPS = {"word_length": ("n_words", 1), "symbols": ("n_words", 1), "repeats": ("n_words", 6), "dup_lines": ("n_lines", 1), "capitals": ("word_chars", 1)}
+_DENOMINATORS = ("n_words", "n_lines", "word_chars")
 
 
 def _fences(keys: str, name: str) -> str:
     by = f"{keys}, " if keys else ""
     same = f"PARTITION BY {by}measure"
-    gap = " ".join(f"WHEN '{m}' THEN CAST({g} AS DOUBLE)" for m, g in _GAPS.items())
-    q = ", ".join(f"min(value) FILTER (upto >= ceil({x} * size)) AS q{x[2:]}" for x in ("0.25", "0.5", "0.75"))
+    steps = " ".join(f"WHEN '{m}' THEN {step} / of_{d}" for m, (d, step) in _STEPS.items())
+    medians = ", ".join(f"max(q5) FILTER (measure = '{d}') OVER ({f'PARTITION BY {keys}' if keys else ''}) AS of_{d}" for d in _DENOMINATORS)
+    q = ", ".join(f"min(value) FILTER (upto >= ceil({x} * size)) AS q{x[2:]}" for x in ("0.5", "0.8"))
     return f"""{name}_upto AS (
   SELECT {by}measure, CASE WHEN bucket = -1000000 THEN CAST(0 AS DOUBLE) ELSE 2 * pow(CAST(1.02 AS DOUBLE), bucket) / CAST(2.02 AS DOUBLE) END AS value,
     sum(n) OVER ({same} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({same}) AS size
   FROM (SELECT {by}measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)
+), {name}_q AS (
+  SELECT {by}measure, max(size) AS size, {q} FROM {name}_upto GROUP BY ALL
 ), {name} AS (
-  SELECT {by}measure, size, greatest(q75 + 6 * (q75 - q25), q5 + CASE measure {gap} END) AS fence
-  FROM (SELECT {by}measure, max(size) AS size, {q} FROM {name}_upto GROUP BY ALL))"""
+  SELECT {by}measure, size, q8 + 8 * greatest(q8 - q5, CASE measure {steps} END) AS fence FROM (SELECT *, {medians} FROM {name}_q))"""
 
 
 OP9 = rf"""
@@ -106,14 +109,18 @@ WITH d AS (
     coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals
   FROM f
 ), long AS (
-  {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, {m} AS v FROM m" for m in _GAPS)}
+  {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, {m} AS v FROM m" for m in (*_STEPS, *_DENOMINATORS))}
 ), sketch AS (
   SELECT lang, source, measure, CASE WHEN v <= 0 THEN -1000000 ELSE CAST(ceil(ln(v) / ln(CAST(1.02 AS DOUBLE))) AS INT) END AS bucket,
     count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL
-), {_fences("lang, source", "own")}, {_fences("", "every")}, over AS (
-  SELECT DISTINCT long.doc_id FROM long JOIN own ON long.measure = own.measure AND long.lang IS NOT DISTINCT FROM own.lang
-    AND long.source IS NOT DISTINCT FROM own.source JOIN every ON every.measure = long.measure
-  WHERE v > CASE WHEN own.size >= 100 THEN own.fence ELSE every.fence END)
+), {_fences("lang, source", "own")}, {_fences("lang", "by_lang")}, {_fences("", "every")}, limits AS (
+  SELECT own.lang, own.source, own.measure, (own.size * own.fence + 100 * (by_lang.size * by_lang.fence + 100 * every.fence)
+    / (by_lang.size + 100)) / (own.size + 100) AS fence
+  FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.measure = by_lang.measure
+  JOIN every ON every.measure = own.measure WHERE own.measure NOT IN ({", ".join(f"'{d}'" for d in _DENOMINATORS)})
+), over AS (
+  SELECT DISTINCT long.doc_id FROM long JOIN limits ON long.measure = limits.measure AND long.lang IS NOT DISTINCT FROM limits.lang
+    AND long.source IS NOT DISTINCT FROM limits.source WHERE v > limits.fence)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM m"""
 

@@ -5,9 +5,9 @@ each pair of terms an interaction through short vectors, so that two words may c
 neither counts alone.
 
 Terms are a text's distinct words and their beginnings (four and five letters), hashed to 32 bits. Spark counts
-in how many toxic and other training texts each hash occurs; the ``MAX_TERMS`` hashes of the
-strongest association (log-likelihood ratio of at least ``MIN_EVIDENCE``) make up the model, so its size is fixed.
-Training takes at most ``MAX_LABELLED`` labelled texts, those of the smallest hash of their id.
+in how many toxic and other training texts each hash occurs; every hash in at least ``MIN_TEXTS`` of them whose association
+with the label is strong (a log-likelihood ratio of at least ``MIN_EVIDENCE``) is a term of the model. Training takes at
+most ``MAX_LABELLED`` labelled texts, those of the smallest hash of their id, which bounds the terms as well.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 from tallywork.llm.common import named, store, text_of
 
 MAX_LABELLED = 50_000
-MAX_TERMS = 20_000
 MIN_TEXTS = 3
 MIN_EVIDENCE = 8.0
 RANK = 4
@@ -98,6 +97,18 @@ class Machine:
         squares = np.add.reduceat(v * v, starts, axis=0)
         return np.add.reduceat(self.w[index], starts) + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
+    def gradients(self, index: np.ndarray, starts: np.ndarray, row: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms of a batch and the gradients of their weights and vectors: mean loss, decay of what is used."""
+        constant = len(self.hashes)
+        y, sums = self.raw(index, starts)
+        error = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels)[row] / len(labels)
+        used, where = np.unique(index, return_inverse=True)
+        grad_w = np.bincount(where, error, len(used)) + DECAY * self.w[used] * (used != constant)
+        pull = error[:, None] * (sums[row] - self.v[index])
+        grad_v = np.stack([np.bincount(where, pull[:, f], len(used)) for f in range(RANK)], axis=1) + DECAY * self.v[used]
+        grad_v[used == constant] = 0
+        return used, grad_w, grad_v
+
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> None:
         """Logistic loss, AdaGrad; the same rows in the same order give the same machine."""
         constant = len(self.hashes)
@@ -112,13 +123,7 @@ class Machine:
                 part = [full[i] for i in take]
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
                 index, starts, row = np.concatenate(part), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(part)), sizes)
-                y, sums = self.raw(index, starts)
-                error = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[take])[row] / len(part)
-                used, where = np.unique(index, return_inverse=True)
-                grad_w = np.bincount(where, error, len(used)) + DECAY * self.w[used] * (used != constant)
-                pull = error[:, None] * (sums[row] - self.v[index])
-                grad_v = np.stack([np.bincount(where, pull[:, f], len(used)) for f in range(RANK)], axis=1) + DECAY * self.v[used]
-                grad_v[used == constant] = 0
+                used, grad_w, grad_v = self.gradients(index, starts, row, labels[take])
                 past_w[used] += grad_w**2
                 past_v[used] += grad_v**2
                 self.w[used] -= STEP * grad_w / np.sqrt(past_w[used])
@@ -175,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     strong = (
         counted.filter(F.col("texts") >= MIN_TEXTS)
         .select("term", _evidence(F.col("texts"), F.col("toxic"), total, toxic).alias("evidence"))
-        .filter(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "term").limit(MAX_TERMS)
+        .filter(F.col("evidence") >= MIN_EVIDENCE)
     )
     hashes = np.sort(np.array([r[0] for r in strong.select("term").collect()], np.int64))
     machine = Machine(hashes)
