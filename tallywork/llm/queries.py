@@ -81,7 +81,7 @@ def op8_suffix_array(spark: SparkSession, path: str) -> DataFrame:
     prepare(spark)
     return _suffixes.suffix_dedup(table(spark, path, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"),
+        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"), "n_shared",
     )
 
 

@@ -12,6 +12,9 @@ backwards are ordered alike. From the two orders and their common prefixes follo
 offset; a window is repeated if its class has two occurrences. All repeated windows of one anchor overlap in its
 core, so they cover one span, from the largest to the smallest repeated offset.
 
+Repeats that are too short to be removed show in ``n_shared``: every window of ``SHORT`` bytes has an anchor in the same
+way, and it counts the anchors whose core occurs again, at least one in any repeat of that length.
+
 A core with more than ``CROWD`` contexts is not brought into one task: its windows are counted by their 128-bit hash,
 which Spark sums before it shuffles.
 """
@@ -25,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,8 @@ from tallywork.llm.common import named, store, text_of
 LENGTH = 400
 CORE = 100
 REACH = LENGTH - CORE
+#: Repeats from this length on are told, though not removed.
+SHORT = 200
 CROWD = 20_000
 BLOCK = 2_000_000
 ROWS = 20_000
@@ -80,32 +85,60 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(on[:n], upto[width - 1: width - 1 + n])
 
 
-def anchors(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors in texts that lie one after the other, with the hashes of their cores and contexts."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _core_hashes(data: np.ndarray) -> tuple[Hashes, np.ndarray]:
     hashes = Hashes(data)
-    at = np.arange(len(data) - CORE + 1)
-    cores = hashes.of(at, at + CORE)
-    least = sliding_least((cores >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), REACH + 1)
-    starts = np.arange(len(least))
+    at = np.arange(max(0, len(data) - CORE + 1))
+    return hashes, hashes.of(at, at + CORE)
+
+
+def anchored(cores: np.ndarray, stops: np.ndarray, length: int) -> np.ndarray:
+    """Places of the anchors of all windows of ``length`` bytes in texts that lie one after the other."""
+    if len(cores) < length - CORE + 1:
+        return np.zeros(0, np.int64)
+    order = (cores >> np.uint64(32) << np.uint64(32)) | np.arange(len(cores), dtype=np.uint64)
+    least = sliding_least(order, length - CORE + 1)
+    inside = np.arange(len(least)) + length <= np.repeat(stops, np.diff(np.r_[0, stops]))[: len(least)]
+    return np.unique((least[inside] & np.uint64(0xFFFF_FFFF)).astype(np.int64))
+
+
+def anchors(hashes: Hashes, cores: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of the windows that count, with the hashes of their cores and contexts."""
+    found = anchored(cores, stops, LENGTH)
     sizes = np.diff(np.r_[0, stops])
-    stop_of = np.repeat(stops, sizes)
-    inside = starts + LENGTH <= stop_of[: len(least)]
-    found = np.unique((least[inside] & np.uint64(0xFFFF_FFFF)).astype(np.int64))
-    start_of = np.repeat(stops - sizes, sizes)
+    stop_of, start_of = np.repeat(stops, sizes), np.repeat(stops - sizes, sizes)
     left, right = np.maximum(found - REACH, start_of[found]), np.minimum(found + LENGTH, stop_of[found])
     context = hashes.of(left, right) ^ _mixed((found - left).astype(np.uint64) << np.uint64(20) | (right - found).astype(np.uint64))
     return found, cores[found].view(np.int64), context.view(np.int64)
 
 
-PIECES = "place bigint, n_bytes bigint, whole string, packed binary, at array<int>, core array<bigint>, context array<bigint>"
+PIECES = (
+    "place bigint, n_bytes bigint, whole string, packed binary, at array<int>, core array<bigint>, context array<bigint>, "
+    "sure int, lone array<bigint>, recurring array<bigint>"
+)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
 
 
+def _short_anchors(cores: np.ndarray, stops: np.ndarray) -> dict[str, pa.Array]:
+    """Cores at the anchors of short windows, by text: those that stand alone in this block, and each other one once.
+
+    What recurs in the block needs no asking; ``sure`` counts it. So a core in very many texts leaves a block as one row.
+    """
+    at = anchored(cores, stops, SHORT)
+    text = np.searchsorted(stops, at, side="right")
+    values, first, back, counts = np.unique(cores[at].view(np.int64), return_index=True, return_inverse=True, return_counts=True)
+    several = counts[back] > 1
+    once = np.zeros(len(at), bool)
+    once[first] = True
+    chosen = {"lone": ~several, "recurring": several & once}
+    n = len(stops)
+    return {"sure": pa.array(np.bincount(text[several], minlength=n).astype(np.int32))} | {
+        name: _lists(cores[at[mask]].view(np.int64), np.bincount(text[mask], minlength=n)) for name, mask in chosen.items()
+    }
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts packed, with their anchors and the SHA-256 of the whole."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -118,7 +151,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = max(first + 1, int(np.searchsorted(reached, (reached[first - 1] if first else 0) + BLOCK)))
             part, own = texts[first:last], sizes[first:last]
             stops = np.cumsum(own)
-            found, core, context = anchors(np.frombuffer(b"".join(part), np.uint8), stops)
+            hashes, cores = _core_hashes(np.frombuffer(b"".join(part), np.uint8))
+            found, core, context = anchors(hashes, cores, stops)
+            near = _short_anchors(cores, stops)
             text = np.searchsorted(stops, found, side="right")
             counts = np.bincount(text, minlength=len(part))
             yield pa.record_batch({
@@ -126,7 +161,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_bytes": pa.array(own), "whole": pa.array([hashlib.sha256(t).hexdigest() for t in part]),
                 "packed": pa.array([pack(t) for t in part], pa.binary()),
                 "at": _lists((found - (stops - own)[text]).astype(np.int32), counts),
-                "core": _lists(core, counts), "context": _lists(context, counts),
+                "core": _lists(core, counts), "context": _lists(context, counts), **near,
             })
             first = last
 
@@ -363,8 +398,19 @@ def repeated_spans(pieces: DataFrame) -> DataFrame:
     ).select("place", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
 
+def shared_anchors(pieces: DataFrame) -> DataFrame:
+    """(place, n_shared): the anchors of short windows whose core occurs again, for texts that have some."""
+    cores = pieces.select("place", F.explode(F.concat(
+        F.transform("lone", lambda c: F.struct(c.alias("core"), F.lit(1).alias("weight"))),
+        F.transform("recurring", lambda c: F.struct(c.alias("core"), F.lit(0).alias("weight"))),
+    )).alias("a")).select("place", "a.core", "a.weight")
+    met = cores.withColumn("n", F.count("*").over(Window.partitionBy("core"))).filter("n > 1").select("place", "weight")
+    sure = pieces.select("place", F.col("sure").alias("weight"))
+    return met.union(sure).groupBy("place").agg(F.sum("weight").alias("n_shared"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans (merged, start and stop), kept (bytes), whole_sha256.
+    """One row per input row: doc_id, n_bytes, n_removed, spans (merged, start and stop), kept (bytes), whole_sha256, n_shared.
 
     ``spans`` and ``kept`` are null where nothing is removed; the text is then whole. Strings are judged on the input, and both
     of two equal strings go, also within one document; matches do not cross documents. A null or short text loses
@@ -375,8 +421,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = store(rows.mapInArrow(_cut, f"doc_id {kind}, {PIECES}"), "pieces")
-    joined = pieces.select("doc_id", "place", "n_bytes", "whole", "packed").join(repeated_spans(pieces), "place", "left")
+    joined = pieces.select("doc_id", "place", "n_bytes", "whole", "packed").join(repeated_spans(pieces), "place", "left").join(
+        shared_anchors(pieces), "place", "left"
+    )
     cut = F.when(F.col("starts").isNotNull(), without_spans("packed", F.coalesce("starts", F.array()), F.coalesce("stops", F.array())))
-    return joined.select("doc_id", "n_bytes", F.col("whole").alias("whole_sha256"), cut.alias("cut")).select(
-        "doc_id", "n_bytes", F.coalesce("cut.n_removed", F.lit(0)).cast("long").alias("n_removed"), "cut.spans", "cut.kept", "whole_sha256"
+    return joined.select("doc_id", "n_bytes", F.col("whole").alias("whole_sha256"), cut.alias("cut"), "n_shared").select(
+        "doc_id", "n_bytes", F.coalesce("cut.n_removed", F.lit(0)).cast("long").alias("n_removed"), "cut.spans", "cut.kept", "whole_sha256",
+        F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
     )

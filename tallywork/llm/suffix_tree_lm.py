@@ -50,7 +50,7 @@ _LOWER = bytearray(range(256))
 _LOWER[65:91] = range(97, 123)
 for _white in (32, *range(9, 14)):
     _LOWER[_white] = SPACE
-_LOWER[0] = 1  # zero stands for "before the text"
+_LOWER[0] = 13  # zero stands for "before the text"; no stream holds a 13, since it is white space
 _LOWER = bytes(_LOWER)
 _RANDOM = np.random.default_rng(20_240_229)
 _LETTER = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+import random
+
 from tallywork.llm import exact_dedup, line_dedup, queries, simhash, suffix_array
 from tallywork.llm.components import components
 from tests.conftest import DATA
@@ -108,3 +110,26 @@ def test_empty_tables(make):
         simhash.keep_one_of_each(empty), line_dedup.line_dedup(empty), suffix_array.suffix_dedup(empty),
     ):
         assert df.count() == 0
+
+
+def test_short_repeats_show(make):
+    """A repeat of 200 bytes has a shared anchor, and a text with one repeats 100 bytes; whatever block the texts lie in."""
+    random.seed(21)
+    letters = "abcdefghij klmnop"
+    passages = ["".join(random.choices(letters, k=random.choice([90, 150, 200, 260, 399]))) for _ in range(30)]
+    rows = []
+    for i in range(120):
+        inside = random.choice(passages) if i % 3 else ""
+        rows.append((i, "".join(random.choices(letters, k=random.randint(0, 300))) + inside + "".join(random.choices(letters, k=random.randint(0, 300)))))
+    rows += [(500, "x" * 1000), (501, None), (502, passages[-1] * 2)]
+    got = {r["doc_id"]: r["n_shared"] for r in suffix_array.suffix_dedup(make(rows).repartition(3)).collect()}
+
+    def repeating(width):
+        seen = {}
+        for i, text in rows:
+            for k in range(len(text or "") - width + 1):
+                seen.setdefault(text[k: k + width], []).append(i)
+        return {i for ids in seen.values() if len(ids) > 1 for i in ids}
+
+    shared = {i for i, n in got.items() if n}
+    assert repeating(suffix_array.SHORT) <= shared <= repeating(suffix_array.CORE) and 20 < len(shared) < 100

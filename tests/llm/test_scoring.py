@@ -186,6 +186,18 @@ def test_base_scores_and_model(spark, documents):
     assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
 
 
+def test_control_characters_are_letters_of_their_own(make):
+    rows = [(i, "ab\x01 x") for i in range(12)] + [(100 + i, "ab\x00 x") for i in range(12)] + [(200, "ab\x0d x")]
+    docs = make(rows)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(docs, *suffix_tree_lm.train(docs)).collect()}
+    for i, (tokens, known, n, base) in brute.base_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2).items():
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (tokens, known, n)
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+    alone = make([(0, "ab\x01 x")])
+    unknown = suffix_tree_lm.score_documents(make([(5, "ab\x00 x")]), *suffix_tree_lm.train(alone)).first()
+    assert unknown["n_known"] == 2
+
+
 def test_model_is_a_distribution_over_states(make):
     docs = make([(i, "the cat sat on the mat " * 20) for i in range(30)])
     model, _ = suffix_tree_lm.train(docs)
