@@ -90,6 +90,15 @@ SQL = {
       {zscores('recent_daily', 'daily_revenue', 'Revenue', 'a')} SELECT * FROM a""",
     "order_anomalies": f"""WITH {FACT}, {RECENT_DAILY},
       {zscores('recent_daily', 'daily_orders', 'Order Count', 'a')} SELECT * FROM a""",
+    "rolling_anomalies": f"""WITH {FACT}, daily AS (
+        SELECT order_date, region, customer_segment, product_category, CAST(SUM(revenue) * 100 AS BIGINT) AS cents FROM fact GROUP BY 1, 2, 3, 4),
+      s AS (SELECT *, COUNT(*) OVER w AS n, SUM(CAST(cents AS HUGEINT)) OVER w AS total, SUM(CAST(cents AS HUGEINT) * cents) OVER w AS squares
+        FROM daily WINDOW w AS (PARTITION BY region, customer_segment, product_category ORDER BY order_date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+      z AS (SELECT *, CAST(total AS DOUBLE) / n AS mean, CASE WHEN n >= 10 THEN (cents - CAST(total AS DOUBLE) / n)
+        / NULLIF(sqrt(CAST(n * squares - total * total AS DOUBLE) / (n * (n - 1))), 0) END AS zscore FROM s)
+      SELECT order_date, region, customer_segment, product_category, cents / CAST(100 AS DOUBLE) AS revenue, round(mean / 100, 4) AS mean,
+        round(zscore, 6) AS zscore, CASE WHEN abs(zscore) > 3 THEN 'high' WHEN abs(zscore) > 2.5 THEN 'medium' ELSE 'low' END AS severity
+      FROM z WHERE abs(zscore) > 2""",
     "all_anomalies": f"WITH {FACT}, {ALL_FOUND} SELECT * FROM found",
     "alerts": f"""WITH {FACT}, {ALL_FOUND} SELECT metric_name AS metric, date, value, severity, description,
       CASE severity WHEN 'high' THEN 'Immediate investigation required for ' || metric_name

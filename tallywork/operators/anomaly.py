@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywork.functions.numbers import rounded
+from tallywork.operators.globalorder import over_rows_before
 
 # Z-score bounds of the severities, strictest first, and the suggested actions.
 SEVERITIES = ((3.0, "high"), (2.5, "medium"))
@@ -61,9 +63,6 @@ def zscore_anomalies(
     """Rows strictly more than ``threshold`` deviations off, with range, severity and text."""
     scored = with_zscore(series, metric, min_rows)
     size = F.abs("zscore")
-    severity = F.when(size > SEVERITIES[0][0], SEVERITIES[0][1])
-    for bound, level in SEVERITIES[1:]:
-        severity = severity.when(size > bound, level)
     reach = F.lit(threshold) * F.col("spread")
     value = F.col(metric).cast("double")
     return scored.filter(size > threshold).select(
@@ -73,11 +72,45 @@ def zscore_anomalies(
         F.struct(
             rounded(F.col("mean") - reach, 2).alias("lo"), rounded(F.col("mean") + reach, 2).alias("hi")
         ).alias("expected_range"),
-        severity.otherwise(LOWEST).alias("severity"),
+        severity_of(size).alias("severity"),
         F.format_string("%s of %.2f is %.1fσ from mean", F.lit(name), value, size).alias("description"),
     )
 
 
+def rolling_zscores(
+    series: DataFrame, metric: str, order: str, groups: Sequence[str], rows: int = 30, min_rows: int = 10
+) -> DataFrame:
+    """``series`` plus ``mean``, ``spread`` (sample deviation) and ``zscore`` against the ``rows`` rows before in its group.
+
+    ``metric`` is a whole number (money in cents), so that sums and squares add up exactly and a rerun gives the same bits.
+    Rows come in the order of ``order``, which is unique in a group. With fewer than ``min_rows`` rows before, or all of them
+    alike, the score is NULL. A null metric is not counted; the row itself then scores NULL.
+    """
+    value = F.col(metric).cast("decimal(19,0)")
+    found = over_rows_before(series, [F.col(order)], rows, {
+        "__n": lambda frame: F.count(metric).over(frame),
+        "__sum": lambda frame: F.sum(F.col(metric).cast("long")).over(frame),
+        "__squares": lambda frame: F.sum(value * value).over(frame),
+    }, groups)
+    n, total = F.col("__n"), F.col("__sum").cast("decimal(19,0)")
+    above = (n.cast("decimal(10,0)") * F.col("__squares").cast("decimal(28,0)") - total * total).cast("double")
+    mean = F.col("__sum") / n
+    spread = F.when(n > 1, F.sqrt(above / (n * (n - 1))))
+    enough = F.when(n >= min_rows, F.nullif(spread, F.lit(0.0)))
+    return found.select(
+        *series.columns, F.when(n > 0, mean).alias("mean"), spread.alias("spread"),
+        ((F.col(metric) - F.when(n > 0, mean)) / enough).alias("zscore"),
+    )
+
+
+def severity_of(size: Column) -> Column:
+    """The level of a z-score's absolute value."""
+    severity = F.when(size > SEVERITIES[0][0], SEVERITIES[0][1])
+    for bound, level in SEVERITIES[1:]:
+        severity = severity.when(size > bound, level)
+    return severity.otherwise(LOWEST)
+
+
 def all_anomalies(*found: DataFrame) -> DataFrame:
     """Union of anomaly tables, most severe first, then by date."""
     merged = found[0]

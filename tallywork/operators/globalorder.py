@@ -13,11 +13,12 @@ The order must be total (end it with a unique key): tied rows could not be sprea
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tallywork.session import materialise
 
@@ -104,3 +105,32 @@ def with_previous(
 def _reverse(column: Column) -> Column:
     """The opposite order of a column that is not marked as descending."""
     return column.desc_nulls_last()
+
+
+BLOCK_ROWS = 65536
+
+
+def over_rows_before(
+    df: DataFrame,
+    order_by: Sequence[Column],
+    rows: int,
+    values: Mapping[str, Callable[[WindowSpec], Column]],
+    partition_by: Sequence[str] = (),
+    block_rows: int | None = None,
+) -> DataFrame:
+    """``df`` plus, for each ``name: value``, the value over the ``rows`` rows before the current one in its group.
+
+    A group is cut into blocks of positions. Each block also gets the last ``rows`` rows of the one before it, its halo, so
+    that every frame lies within one block; halo rows serve as neighbours only. No task holds more of a group than a block.
+    """
+    size = max(rows, block_rows or BLOCK_ROWS)
+    placed = with_position(df, order_by, "__position", partition_by)
+    at = F.col("__position") - 1
+    block = F.floor(at / size)
+    own, next_one = (F.struct(b.alias("block"), F.lit(halo).alias("halo")) for b, halo in ((block, False), (block + 1, True)))
+    spread = placed.withColumn("__in", F.explode(F.when(at % size >= size - rows, F.array(own, next_one)).otherwise(F.array(own))))
+    frame = Window.partitionBy(*partition_by, "__in.block").orderBy("__position").rowsBetween(-rows, -1)
+    return (
+        spread.select("*", *[value(frame).alias(name) for name, value in values.items()])
+        .filter(~F.col("__in.halo")).select(*df.columns, *values)
+    )

@@ -110,6 +110,11 @@ def revenue() -> Column:
     return exact_sum("revenue").cast("double")
 
 
+def revenue_cents() -> Column:
+    """Whole cents."""
+    return (exact_sum("revenue") * 100).cast("long")
+
+
 def profit() -> Column:
     return exact_sum("gross_profit").cast("double")
 

@@ -167,6 +167,21 @@ def order_anomalies(star: Star) -> DataFrame:
     return _flat(_order_anomalies(_daily(star, 90)))
 
 
+@query()
+def rolling_anomalies(star: Star) -> DataFrame:
+    """Daily revenue per region, segment and category: days far off the thirty sales days before."""
+    groups = ["region", "customer_segment", "product_category"]
+    daily = order_facts(star, ["order_date", *groups], ["revenue"]).groupBy("order_date", *groups).agg(
+        (of.revenue_cents()).alias("revenue_cents")
+    )
+    scored = anomaly.rolling_zscores(daily, "revenue_cents", "order_date", groups)
+    size = F.abs("zscore")
+    return scored.filter(size > 2).select(
+        "order_date", *groups, (F.col("revenue_cents") / 100).alias("revenue"), rounded(F.col("mean") / 100, 4).alias("mean"),
+        rounded(F.col("zscore")).alias("zscore"), anomaly.severity_of(size).alias("severity"),
+    )
+
+
 def _all_anomalies(star: Star, days: int | None = None) -> DataFrame:
     daily = _daily(star, days)
     return anomaly.all_anomalies(_revenue_anomalies(daily), _order_anomalies(daily))

@@ -70,3 +70,32 @@ def test_period_change_guards_zero(spark):
 def test_growth_needs_two_months(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), 5.0)], "order_month date, revenue double")
     assert dashboard.mom_growth(df).count() == 0
+
+
+def test_rolling_scores_of_a_hot_group(spark, monkeypatch):
+    """Blocks shorter than the groups, a null group, null values; each score from the rows right before, by plain loops."""
+    import random
+    from statistics import mean, stdev
+
+    from tallywork.operators import globalorder
+
+    monkeypatch.setattr(globalorder, "BLOCK_ROWS", 16)
+    random.seed(4)
+    data = [(random.choice(["hot", "hot", "hot", "x", None]), i, random.choice([None, 5, 5, random.randint(-10**12, 10**12)])) for i in range(600)]
+    out = anomaly.rolling_zscores(spark.createDataFrame(data, "g string, i int, v long").repartition(5), "v", "i", ["g"], rows=7, min_rows=3)
+    got = {r.i: r for r in out.collect()}
+    before = {}
+    for g, i, v in data:
+        held = [x for x in before.get(g, [])[-7:] if x is not None]
+        before.setdefault(g, []).append(v)
+        r = got[i]
+        assert r.g == g and r.v == v
+        assert r.mean == (pytest.approx(mean(held)) if held else None)
+        assert r.spread == (pytest.approx(stdev(held)) if len(held) > 1 else None)
+        scored = len(held) >= 3 and len(set(held)) > 1 and v is not None
+        assert r.zscore == (pytest.approx((v - mean(held)) / stdev(held)) if scored else None)
+    assert len(got) == 600
+
+
+def test_rolling_scores_of_nothing(spark):
+    assert anomaly.rolling_zscores(spark.createDataFrame([], "g string, i int, v long"), "v", "i", ["g"]).count() == 0
