@@ -20,6 +20,13 @@ TOLERANCE = 0.001
 PASS_SHARE = 0.95
 BLOCK_ROWS = 65536
 
+# The messages of an outcome.
+BOTH_EMPTY = "Both queries return empty result"
+ONE_EMPTY = "One query returns empty, other doesn't"
+ROW_COUNTS = "Row count mismatch: %d vs %d"
+COLUMNS_DIFFER = "Column mismatch: {} vs {}"
+SCORE = "Match score: %.3f"
+
 FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
@@ -167,10 +174,10 @@ def compare_results(
                 F.col("got_rows") != F.col("want_rows"),
                 F.struct(
                     F.lit(0.6).alias("score"),
-                    F.format_string("Row count mismatch: %d vs %d", "got_rows", "want_rows").alias("message"),
+                    F.format_string(ROW_COUNTS, "got_rows", "want_rows").alias("message"),
                 ),
             )
-            .otherwise(F.struct(share.alias("score"), F.format_string("Match score: %.3f", share).alias("message")))
+            .otherwise(F.struct(share.alias("score"), F.format_string(SCORE, share).alias("message")))
         )
     else:
         sides = [
@@ -183,14 +190,14 @@ def compare_results(
         )
         rest = F.struct(
             F.lit(0.5).alias("score"),
-            F.lit(f"Column mismatch: {sorted(got.columns)} vs {sorted(want.columns)}").alias("message"),
+            F.lit(COLUMNS_DIFFER.format(sorted(got.columns), sorted(want.columns))).alias("message"),
         )
     no_got, no_want = F.col("got_rows") == 0, F.col("want_rows") == 0
     outcome = (
         F.when(no_got & no_want, F.struct(
-            F.lit(1.0).alias("score"), F.lit("Both queries return empty result").alias("message")))
+            F.lit(1.0).alias("score"), F.lit(BOTH_EMPTY).alias("message")))
         .when(no_got | no_want, F.struct(
-            F.lit(0.0).alias("score"), F.lit("One query returns empty, other doesn't").alias("message")))
+            F.lit(0.0).alias("score"), F.lit(ONE_EMPTY).alias("message")))
         .otherwise(rest)
     )
     differing = F.lit(not _same_names(got, want)) & ~(no_got & no_want)

@@ -113,25 +113,22 @@ def mom_growth(monthly: DataFrame) -> DataFrame:
 
 
 def top_products(orders: DataFrame, n: int = 15) -> DataFrame:
-    """``orders``: order facts at ``["product_name"]``. Customers are counted for the ``n`` best products only."""
-    best_first = [F.col("total_revenue").desc_nulls_last(), F.col("product_name")]
-    best = (
-        orders.groupBy("product_name")
+    """``orders``: order facts at ``["product_name"]``. They collapse to one row per product and customer, so that counting
+    customers is a plain count and the facts are planned once."""
+    parts = ("quantity", "revenue_hi", "revenue_lo", "gross_profit_hi", "gross_profit_lo", "margin_sum", "margin_rows")
+    bought = orders.groupBy("product_name", "customer_id").agg(*[F.sum(c).alias(c) for c in parts])
+    return (
+        bought.groupBy("product_name")
         .agg(
             of.revenue().alias("total_revenue"),
             of.quantity().alias("total_quantity"),
             of.profit().alias("total_profit"),
             of.mean_margin().alias("avg_margin"),
+            F.count("customer_id").alias("unique_customers"),
         )
-        .orderBy(*best_first)
+        .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("product_name"))
         .limit(n)
     )
-    # ``n`` rows are broadcast
-    shown = best.select(F.col("product_name").alias("shown"))
-    buyers = orders.join(F.broadcast(shown), F.col("product_name").eqNullSafe(F.col("shown")), "left_semi").groupBy(
-        F.col("product_name").alias("of")
-    ).agg(of.customer_count().alias("unique_customers"))
-    return best.join(buyers, F.col("product_name").eqNullSafe(F.col("of")), "left").drop("of").orderBy(*best_first)
 
 
 def top_customers(orders: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
