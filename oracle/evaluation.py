@@ -92,6 +92,8 @@ SQL = {
       SELECT score >= CAST(0.95 AS DOUBLE) AS passed, score, printf('Match score: %.3f', score) AS message FROM s""",
     "cell_match_score": f"""WITH n AS (SELECT * REPLACE (l_tax + {OFF.format(by='l_partkey % 3')} AS l_tax) FROM lineitem)
       {aligned('n', 'lineitem', LINE_COLUMNS, {'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'})}""",
+    "row_match_score": """SELECT COUNT(*) AS got_rows, COUNT(*) AS want_rows, COUNT(*) FILTER (WHERE l_orderkey % 7 <> 0) AS matched,
+      round(COUNT(*) FILTER (WHERE l_orderkey % 7 <> 0) / CAST(COUNT(*) AS DOUBLE), 6) AS score FROM lineitem""",
     "kpi_properties": f"""WITH {SALES}, {PROFITS}
       SELECT 'positive' AS property, COUNT(*) > 0 AND bool_and(coalesce(v >= 0, FALSE)) AS passed FROM p
       UNION ALL SELECT 'not_null', COUNT(*) > 0 AND bool_and(v IS NOT NULL) FROM p

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.operators import compare
+from tallywork.functions.numbers import rounded
+from tallywork.operators import compare, matching
 from tallywork.operators import orderfacts as of
 from tallywork.operators.orderfacts import order_facts
 from tallywork.plans import benchmark, evaluation, kpis
@@ -51,6 +52,17 @@ def cell_match_score(star: Star) -> DataFrame:
     return compare.cell_match_score(_nudged(lines, "l_tax", "l_partkey % 3"), lines)
 
 
+@query()
+def row_match_score(star: Star) -> DataFrame:
+    """The lines against a copy with noise below the tolerance in the first column sorted by, and some prices off."""
+    lines = star.table("lineitem")
+    noisy = lines.withColumns({
+        "l_discount": F.col("l_discount") + F.col("l_partkey") % 3 * F.lit(0.0004),
+        "l_extendedprice": F.col("l_extendedprice") + F.when(F.col("l_orderkey") % 7 == 0, 1.0).otherwise(0.0),
+    })
+    return matching.row_match_score(noisy, lines).withColumn("score", rounded(F.col("score")))
+
+
 @query()
 def evaluate_query(star: Star) -> DataFrame:
     """Answers of every kind: right, wrong, wider, not planned, failing while running, with odd or repeated names."""
