@@ -1,7 +1,7 @@
 """Result comparison, scoring and suites."""
 
 from oracle.benchmark import SQL as QUESTIONS
-from oracle.common import FACT, ORDERS, REVENUE, SALES, dbl
+from oracle.common import FACT, ORDERS, REVENUE, SALES
 from oracle.kpis import KPIS
 from tallywork.plans.kpi_specs import KPIS as SPECS
 from oracle.querylog import CROSS, LOG, SCAN, STAR_SELECT

@@ -1,6 +1,5 @@
 """The derived query log as a common table expression."""
 
-from oracle.common import dbl
 
 STATEMENT = """CASE event_type
   WHEN 'view' THEN 'SELECT * FROM orders WHERE customer_id = ' || user_id

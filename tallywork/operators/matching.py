@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallywork.operators.compare import FRACTIONAL, TOLERANCE, _plain, _same_names
 from tallywork.operators.globalorder import running_total, with_previous
-from tallywork.session import ship_package
+from tallywork.session import materialise, ship_package
 
 #: Fractional columns that clusters are cut by; all others are still compared.
 CUT_COLUMNS = 3
@@ -153,8 +153,13 @@ def matched_rows(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE)
         values = [F.when(F.abs(_number(c)) < float("inf"), _number(c)).alias(f"f{i}") for i, c in enumerate(fractional)]
         sides.append(side.select(key.alias("key"), *values, F.lit(n).alias("__got"), F.lit(1 - n).alias("__want")))
     names = [f"f{i}" for i in range(len(fractional))]
-    rows = sides[0].union(sides[1]).groupBy("key", *names).agg(F.sum("__got").alias("__got"), F.sum("__want").alias("__want"))
-    cut = ["key"]
+    rows = materialise(sides[0].union(sides[1]).groupBy("key", *names).agg(F.sum("__got").alias("__got"), F.sum("__want").alias("__want")))
+    groups = _clusters(rows, ["key"], names, tolerance)
+    counted = groups.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(f"{s}_rows") for s in ("got", "want")], _settled())
+    if not names:
+        return counted
+    # Most groups are settled by now; only those that stretch are cut.
+    cut, rows = ["key"], _open_rows(rows, groups, ["key"])
     for i, name in enumerate(names[:CUT_COLUMNS]):
         order = [F.col(c) for c in (name, *[n for n in names if n != name])]
         beside = with_previous(rows, order, [name], "previous", cut)
@@ -163,23 +168,32 @@ def matched_rows(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE)
         fresh = F.when(F.col("previous").isNotNull() & close, 0).otherwise(1)
         rows = running_total(beside.withColumn("__fresh", fresh).drop("previous"), order, F.col("__fresh"), f"part{i}", cut).drop("__fresh")
         cut = [*cut, f"part{i}"]
-    wide = reduce(Column.__or__, [F.coalesce(F.max(n) - F.min(n) > tolerance, F.lit(False)) for n in names], F.lit(False))
-    clusters = rows.groupBy(*cut).agg(F.sum("__got").alias("got"), F.sum("__want").alias("want"), wide.alias("wide"))
-    plain_ones = clusters.agg(
-        *[F.coalesce(F.sum(s), F.lit(0)).alias(f"{s}_rows") for s in ("got", "want")],
-        F.coalesce(F.sum(F.when(~F.col("wide"), F.least("got", "want"))), F.lit(0)).alias("matched"),
-    )
-    if not names:
-        return plain_ones
-    open_ones = clusters.filter("wide AND got > 0 AND want > 0").select(*[F.col(c).alias(f"of_{c}") for c in cut])
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in cut])
-    hard = rows.join(open_ones, same, "left_semi").na.fill(0.0, names)
+    clusters = _clusters(rows, cut, names, tolerance)
+    hard = _open_rows(rows, clusters, cut).na.fill(0.0, names)
     found = hard.groupBy(*cut).applyInPandas(_stretched(names, tolerance), "matched long")
-    return plain_ones.union(
-        found.agg(F.lit(0).cast("long"), F.lit(0).cast("long"), F.coalesce(F.sum("matched"), F.lit(0)))
+    none = F.lit(0).cast("long")
+    return counted.union(clusters.agg(none, none, _settled())).union(
+        found.agg(none, none, F.coalesce(F.sum("matched"), F.lit(0)))
     ).agg(*[F.sum(c).alias(c) for c in ("got_rows", "want_rows", "matched")])
 
 
+def _clusters(rows: DataFrame, cut: list[str], names: list[str], tolerance: float) -> DataFrame:
+    """Rows of either side per cluster, and whether some of its values lie further apart than the tolerance."""
+    wide = reduce(Column.__or__, [F.coalesce(F.max(n) - F.min(n) > tolerance, F.lit(False)) for n in names], F.lit(False))
+    return rows.groupBy(*cut).agg(F.sum("__got").alias("got"), F.sum("__want").alias("want"), wide.alias("wide"))
+
+
+def _settled() -> Column:
+    """Matches of the clusters in which everything matches."""
+    return F.coalesce(F.sum(F.when(~F.col("wide"), F.least("got", "want"))), F.lit(0)).alias("matched")
+
+
+def _open_rows(rows: DataFrame, clusters: DataFrame, cut: list[str]) -> DataFrame:
+    """The rows of clusters that stretch and have both sides."""
+    wanted = clusters.filter("wide AND got > 0 AND want > 0").select(*[F.col(c).alias(f"of_{c}") for c in cut])
+    return rows.join(wanted, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in cut]), "left_semi")
+
+
 def row_match_score(got: DataFrame, want: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """got_rows, want_rows, matched and score, the matched share of the longer table's rows; 1 for two empty tables."""
     longer = F.greatest("got_rows", "want_rows")

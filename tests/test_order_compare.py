@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tallywork.operators import compare
 from tallywork.operators.globalorder import running_total, with_position
-from tests.conftest import rows
 
 
 def test_running_total_over_many_partitions(spark):
