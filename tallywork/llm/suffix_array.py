@@ -6,8 +6,8 @@ matter, about one in 150, and of these only those whose core occurs again. An an
 reach: ``LENGTH`` - ``CORE`` bytes before it and ``LENGTH`` bytes from it on.
 
 Equal contexts count as one with its number of occurrences; whatever windows they hold are repeated. Where a core has
-several contexts, Spark brings them together and each task orders them by deep-shallow sorting: a multikey sort by
-8-byte words down to a shallow depth, then a blind trie for every group that is still tied. The contexts read
+several contexts, Spark brings them together and each task orders them by deep-shallow sorting: multikey sorting, 8 bytes
+at a time and only of strings still tied, down to a shallow depth, then a blind trie for every group that is tied there. The contexts read
 backwards are ordered alike. From the two orders and their common prefixes follow the classes of equal windows at each
 offset; a window is repeated if its class has two occurrences. All repeated windows of one anchor overlap in its
 core, so they cover one span, from the largest to the smallest repeated offset.
@@ -225,14 +225,32 @@ class BlindTrie:
         return out
 
 
+def multikey(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of ``words`` by group and content, and where a row of it equals the one before.
+
+    The first word splits all groups; each next one splits only the runs that are equal so far.
+    """
+    order = np.lexsort((words[:, 0], group))
+    tied = (group[order[1:]] == group[order[:-1]]) & (words[order[1:], 0] == words[order[:-1], 0])
+    for k in range(1, words.shape[1]):
+        inside = np.flatnonzero(np.r_[tied, False] | np.r_[False, tied])
+        if not len(inside):
+            break
+        rows, run = order[inside], np.cumsum(~np.r_[False, tied][inside])
+        rows = rows[np.lexsort((words[rows, k], run))]
+        order[inside] = rows
+        later = np.r_[False, tied][inside]
+        tied[inside[later] - 1] = words[rows[later], k] == words[rows[np.flatnonzero(later) - 1], k]
+    return order, tied
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of ``strings`` (zero-filled to ``width``) by group and content, and each one's common prefix with the one before."""
     n = len(strings)
     full = [s.ljust(width, b"\0") for s in strings]
     words = np.frombuffer(b"".join(full), ">u8").reshape(n, width // 8)
     shallow = min(SHALLOW, width // 8)
-    order = np.lexsort([*[words[:, k] for k in range(shallow - 1, -1, -1)], group])
-    tied = (group[order[1:]] == group[order[:-1]]) & (words[order[1:], :shallow] == words[order[:-1], :shallow]).all(axis=1)
+    order, tied = multikey(words[:, :shallow], group)
     edges = np.flatnonzero(np.diff(np.r_[False, tied, False].astype(np.int8)))
     for a, b in zip(edges[::2], edges[1::2]):  # rows a to b of the order share the shallow prefix
         trie = BlindTrie()

@@ -1,10 +1,11 @@
 """Exact copies, near copies, repeated lines and repeated byte strings against plain versions."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import random
-
 from tallywork.llm import exact_dedup, line_dedup, queries, simhash, suffix_array
 from tallywork.llm.components import components
 from tests.conftest import DATA
@@ -112,6 +113,17 @@ def test_empty_tables(make):
         assert df.count() == 0
 
 
+def test_multikey_sorting_refines_ties_only():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 400):
+        words = rng.integers(0, 3, (n, 5)).astype(">u8")
+        group = np.sort(rng.integers(0, 4, n))
+        order, tied = suffix_array.multikey(words, group)
+        keys = [(int(group[k]), *map(int, words[k])) for k in range(n)]
+        assert [keys[k] for k in order] == sorted(keys)
+        assert tied.tolist() == [keys[a] == keys[b] for a, b in zip(order, order[1:])]
+
+
 def test_short_repeats_show(make):
     """A repeat of 200 bytes has a shared anchor, and a text with one repeats 100 bytes; whatever block the texts lie in."""
     random.seed(21)
