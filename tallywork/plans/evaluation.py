@@ -38,7 +38,8 @@ def evaluate_query(
     """One row for one generated query, run now against the gold query on the session's views.
 
     Whatever the query raises, planned or running, scores 0 and leaves other tasks alone. The outcome of
-    a comparison is one row, so it is kept as a literal. ``latency`` is the time of the comparison in seconds.
+    a comparison is one row, so it is kept as a literal. ``latency`` is the time of the comparison in seconds. Each
+    answer is a job of its own, run at once: meant for tens of answers, whose tables may be of any size.
     """
     row, began = (False, 0.0, "No gold SQL provided"), time.perf_counter()
     if gold_sql:
