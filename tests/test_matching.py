@@ -92,3 +92,25 @@ def test_matchings_by_themselves():
         near = np.abs(a[:, None] - b[None, :]) <= 1
         assert mt.along_line(a, b, *copies, 1.0) == mt.at_best(near, *copies) == want
         assert mt._in_order(a[:, None], b[:, None], *copies, 1.0) <= want
+
+
+def test_settled_groups_are_only_counted(spark, monkeypatch):
+    """Groups that lie together or apart need no copy of the rows in the shared folder, and no global order."""
+    def refuse(*_):
+        raise AssertionError("rows were stored or sorted")
+
+    for name in ("materialise", "with_previous", "running_total"):
+        monkeypatch.setattr(mt, name, refuse)
+    want = [(i // 2, i % 2, 10.0 * i, 0.5) for i in range(300)]
+    got = [(k, n, a + (i % 3) * 0.0004, b + (1.0 if i % 7 == 0 else 0.0)) for i, (k, n, a, b) in enumerate(want)]
+    assert counted(spark, got, want, "k int, n int, a double, b double") == sum(i % 7 != 0 for i in range(300))
+
+
+@pytest.mark.parametrize("best", [4, 1024])
+def test_open_groups_of_few_and_of_many_rows(spark, monkeypatch, best):
+    """Chains wider than the tolerance in groups of three sizes, matched in one task or along the global order."""
+    monkeypatch.setattr(mt, "BEST_ROWS", best)
+    random.seed(best)
+    sides = [[(k, 1.0 * n + random.randint(0, 9) * 0.0004) for k, size in (("a", 2), ("b", 5), (None, 30)) for n in range(size) for _ in range(3)]
+             for _ in range(2)]
+    assert counted(spark, *sides, "k string, v double") == largest(*sides, close)
