@@ -11,6 +11,8 @@ from tallywork.plans.registry import query
 from tallywork.session import new_folder
 from tallywork.sources.star import Star
 
+#: Lines whose sums per product and order one task holds.
+LINES_PER_TASK = 500_000
 FULL = ("quantity", "revenue", "gross_profit", "profit_margin")
 
 
@@ -61,7 +63,10 @@ def incremental_kpis_monthly(star: Star) -> DataFrame:
 
 @query()
 def fct_product_performance(star: Star) -> DataFrame:
-    sales = star.sales(["product_id", "order_id", "order_date", "quantity", "price_cents"])
+    # Products hardly recur in an order, so a task holds sums for nearly every line: their number per task has a bound.
+    tasks = -(-star.table("lineitem").count() // LINES_PER_TASK) or 1
+    lines = star.order_lines(["product_id", "quantity", "price_cents"]).repartition(tasks, "order_id")
+    sales = lines.join(star.order_headers(["order_date"]).repartition(tasks, "order_id"), "order_id", "inner")
     return marts.fct_product_performance(star.products(), sales)
 
 
