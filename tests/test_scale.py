@@ -19,6 +19,25 @@ def plan_of(df, capsys):
     return capsys.readouterr().out
 
 
+def test_sink_without_moving_rows(spark, tmp_path):
+    df = spark.range(0, 60, 1, 3).select("id", (F.col("id") % 2).alias("odd"))
+    before = spark.conf.get(io.WRITERS)
+    io.sink_parquet(df, str(tmp_path / "t"), ["odd"], even=False)
+    assert len(list(tmp_path.glob("t/odd=*/*.parquet"))) == 3 * 2 and spark.conf.get(io.WRITERS) == before
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(i, i % 2) for i in range(60)]
+
+
+def test_build_writes_the_facts_where_they_are(spark, monkeypatch):
+    calls = {}
+    monkeypatch.setattr(warehouse.io, "sink_parquet", lambda df, path, by=(), even=True: calls.update({path.rsplit("/", 1)[-1]: (list(by), even)}))
+    empty = spark.createDataFrame([], "customer_id long, signup_date date")
+    fact = spark.createDataFrame([], ", ".join(f"{c} long" for c in warehouse.marts.FACT_COLUMNS))
+    monkeypatch.setattr(warehouse, "Observation", lambda: type("Seen", (), {"get": {"rows": 0}})())
+    monkeypatch.setattr(type(fact), "observe", lambda self, *_: self)
+    warehouse.build_marts(fact, empty, empty, None, "/nowhere")
+    assert calls["fact_orders"] == (["year"], False)
+
+
 def test_product_sums_in_tasks_of_bounded_size(star, monkeypatch, capsys):
     lines = star.table("lineitem").count()
     monkeypatch.setattr(mart_queries, "LINES_PER_TASK", 500)
