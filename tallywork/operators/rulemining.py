@@ -23,6 +23,8 @@ from tallywork.session import materialise, ship_package
 #: Texts, and distinct words of texts, that are mined together.
 CHUNK_TEXTS = 20_000
 CHUNK_WORDS = 4_000_000
+#: Texts that are unpacked at a time.
+PIECE = 500
 SLICE = 200_000
 BLOCK = 2048
 EXAMPLES = 3
@@ -45,8 +47,9 @@ class Part:
         place = {w: k for k, w in enumerate(self.words)}
         self.at = []
         for part in split:
-            found = [(place[w], n) for n, r in enumerate(part) for w in r[2] if w in place]
-            self.at.append(np.array(found, np.int64).reshape(-1, 2))
+            held = [np.array([place[w] for w in r[2] if w in place], np.int64) for r in part]
+            texts = np.repeat(np.arange(len(part)), [len(h) for h in held])
+            self.at.append(np.column_stack([np.concatenate([np.zeros(0, np.int64), *held]), texts]))
 
     def counts(self) -> list[np.ndarray]:
         return [np.bincount(at[:, 0], minlength=len(self.words)) for at in self.at]
@@ -93,14 +96,15 @@ def frequent_sets(part: Part, share: float, longest: int) -> Iterator[tuple[int,
 
 
 def _parts(batches: Iterator[pa.RecordBatch], known: Sequence[str] | None = None) -> Iterator[Part]:
-    rows, words = [], 0
-    for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("id", "passed", "words")]):
-            rows.append(row)
-            words += len(row[2])
+    rows, words, one = [], 0, {}
+    for piece in (batch.slice(start, PIECE) for batch in batches for start in range(0, batch.num_rows, PIECE)):
+        for id_, passed, held in zip(*[piece.column(c).to_pylist() for c in ("id", "passed", "words")]):
+            # A word that recurs is held once for all texts.
+            rows.append((id_, passed, [one.setdefault(w, w) for w in held]))
+            words += len(held)
             if len(rows) >= CHUNK_TEXTS or words >= CHUNK_WORDS:
                 yield Part(rows, known)
-                rows, words = [], 0
+                rows, words, one = [], 0, {}
     if rows:
         yield Part(rows, known)
 

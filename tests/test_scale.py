@@ -43,3 +43,17 @@ def test_product_sums_in_tasks_of_bounded_size(star, monkeypatch, capsys):
     monkeypatch.setattr(mart_queries, "LINES_PER_TASK", 500)
     plan = plan_of(mart_queries.fct_product_performance(star), capsys)
     assert re.search(rf"hashpartitioning\(order_id#\w+, {-(-lines // 500)}\)", plan)
+
+
+def test_words_of_a_part_are_held_once():
+    texts, each = 4000, 100
+    words = [f"word{k}" for k in range(1000)]
+    batch = pa.record_batch({
+        "id": pa.array(range(texts)), "passed": pa.array([k % 2 == 0 for k in range(texts)]),
+        "words": pa.array([[words[(k * 7 + n) % 1000] for n in range(each)] for k in range(texts)], pa.list_(pa.string())),
+    })
+    tracemalloc.start()
+    (part,) = rm._parts(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(at) for at in part.at) == texts * each and peak < 60 * texts * each
