@@ -45,6 +45,14 @@ def test_product_sums_in_tasks_of_bounded_size(star, monkeypatch, capsys):
     assert re.search(rf"hashpartitioning\(order_id#\w+, {-(-lines // 500)}\)", plan)
 
 
+def test_comparison_orders_its_rows_once(spark, capsys):
+    """Aligned runs and the others in one pass, with copies of both."""
+    rows = [(1, 0.5)] * 3 + [(2, 0.5)] * 2 + [(4, 1.0)]
+    got, want = (spark.createDataFrame(r, "k int, v double") for r in (rows + [(5, 1.0)], rows + [(6, 1.0)]))
+    counted = compare.cell_matches(got, want)
+    assert counted.first() == (7, 7, 13) and "Union" not in plan_of(counted, capsys)
+
+
 def test_words_of_a_part_are_held_once():
     texts, each = 4000, 100
     words = [f"word{k}" for k in range(1000)]
