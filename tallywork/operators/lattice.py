@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -52,13 +53,19 @@ def plan_levels(grain: Sequence[str], members: Mapping[Keys, int], bitmaps: Mapp
 
 
 def _sizes(base: DataFrame, grain: Sequence[str], member: str) -> tuple[dict[Keys, int], dict[Keys, int]]:
-    """Estimated member rows and bitmaps of every level, in one pass."""
+    """Estimated member rows and bitmaps of every level, in one pass.
+
+    A key is hashed once per row, whatever the number of levels; what is counted are combinations of these hashes.
+    """
     all_keys = subsets(grain)
-    bucket = F.bitmap_bucket_number(F.col(member))
-    counts = base.agg(*[
-        F.approx_count_distinct(F.struct(*keys, last.alias("last"))).alias(f"{kind}{n}")
-        for n, keys in enumerate(all_keys) for kind, last in (("m", F.col(member)), ("b", bucket))
-    ]).first()
+    lasts = {"m": F.col(member), "b": F.bitmap_bucket_number(F.col(member))}
+    # Each hash has a number of its own in it, so that keys with equal values do not stand for each other.
+    hashes = {key: F.xxhash64(F.lit(n), column) for n, (key, column) in enumerate([*[(k, F.col(k)) for k in grain], *lasts.items()])}
+    hashed = base.select(*[h.alias(f"h{n}") for n, h in enumerate(hashes.values())])
+    at = {key: F.col(f"h{n}") for n, key in enumerate(hashes)}
+    counts = hashed.select(*[
+        reduce(Column.bitwiseXOR, [at[k] for k in (*keys, kind)]).alias(f"{kind}{n}") for n, keys in enumerate(all_keys) for kind in lasts
+    ]).agg(*[F.approx_count_distinct(f"{kind}{n}").alias(f"{kind}{n}") for n in range(len(all_keys)) for kind in lasts]).first()
     return tuple({keys: counts[f"{kind}{n}"] for n, keys in enumerate(all_keys)} for kind in ("m", "b"))
 
 

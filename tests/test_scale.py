@@ -53,6 +53,14 @@ def test_comparison_orders_its_rows_once(spark, capsys):
     assert counted.first() == (7, 7, 13) and "Union" not in plan_of(counted, capsys)
 
 
+def test_sizes_of_levels_hash_each_key_once(spark, monkeypatch):
+    """Keys of equal values, and a member that equals a key, count like any others."""
+    df = spark.range(2000).selectExpr("id % 40 AS a", "id % 40 AS b", "id % 40 AS who")
+    monkeypatch.setattr(lattice.F, "struct", None)
+    members, _ = lattice._sizes(df, ["a", "b"], "who")
+    assert all(members[keys] == pytest.approx(40, rel=0.1) for keys in lattice.subsets(["a", "b"]))
+
+
 def test_words_of_a_part_are_held_once():
     texts, each = 4000, 100
     words = [f"word{k}" for k in range(1000)]
