@@ -45,6 +45,10 @@ def test_product_sums_in_tasks_of_bounded_size(star, monkeypatch, capsys):
     assert re.search(rf"hashpartitioning\(order_id#\w+, {-(-lines // 500)}\)", plan)
 
 
+def test_lines_of_a_category_move_once(star, capsys):
+    assert not re.search(r"hashpartitioning\(order_id#\w+, product_id", plan_of(benchmark.avg_value_by_category(star), capsys))
+
+
 def test_comparison_orders_its_rows_once(spark, capsys):
     """Aligned runs and the others in one pass, with copies of both."""
     rows = [(1, 0.5)] * 3 + [(2, 0.5)] * 2 + [(4, 1.0)]
