@@ -68,3 +68,28 @@ def test_late_orders_touch_their_month_only(spark, tmp_path):
         n, members, total = want.get((month, region), (0, set(), 0))
         want[month, region] = (n + 1, members | ({who} - {None}), total + cents)
     assert got == {k: (n, len(m), t / 100) for k, (n, m, t) in want.items()}
+
+
+def test_states_of_a_month_make_a_file_per_slot(spark, tmp_path, monkeypatch):
+    """However many tasks write, and with months and members spread over slots the mart is the same."""
+    random.seed(4)
+    months = ["2024-01-01", "2024-02-01", None]
+    data = [(i, random.choice(months), random.choice(["N", None]), random.choice([None, 7, 8, 9]), 100) for i in range(200)]
+    facts = facts_of(spark, data).withColumn("order_date", F.col("order_month")).withColumns(
+        {"customer_segment": F.lit("s"), "product_category": F.lit("c"), "quantity": F.lit(2).cast("long")}
+    ).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = []
+        for size, slots in ((1000, 1), (100, 2)):
+            monkeypatch.setattr(inc, "FACTS_PER_SLOT", size, raising=False)
+            folder = str(tmp_path / str(size))
+            for batch in (0, 1):
+                args = (100,) if slots > 1 else ()
+                inc.add_batch(folder, inc.DAILY, facts.filter(F.col("order_id") % 2 == batch), f"b{batch}", *args)
+                made = [os.path.dirname(f) for f in files(f"{folder}/fct_revenue_daily_states") if f"b{batch}" in f]
+                assert len(made) <= 3 * slots and len(set(made)) == 3
+            got.append(rows(inc.read_mart(spark, folder, inc.DAILY)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1] == rows(marts.fct_revenue_daily(facts), *inc.read_mart(spark, folder, inc.DAILY).columns)
