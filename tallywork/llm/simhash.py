@@ -35,14 +35,14 @@ _EVEN = 0x5555_5555_5555_5555
 _HALF = (1 << 32) - 1
 
 
-def fingerprint(text: str) -> int:
-    """Signed 64-bit SimHash of the 3-word shingles; 0 without words."""
+def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
+    """Signed 64-bit SimHash of the shingles of ``width`` words; 0 without words."""
     words = text.encode().translate(_LOWER).split()
     if not words:
         return 0
     ends = np.cumsum([len(w) + 1 for w in words])
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE_WORDS + 1)
-    last = (ends[SHINGLE_WORDS - 1:] - 1).tolist() or [len(joined)]
+    joined, n = b" ".join(words), max(1, len(words) - width + 1)
+    last = (ends[width - 1:] - 1).tolist() or [len(joined)]
     first = [0, *ends[: n - 1].tolist()]
     of = xxhash.xxh64_intdigest
     hashes = np.array([of(joined[a:b], SEED) for a, b in zip(first, last)], dtype=np.uint64)
@@ -85,30 +85,53 @@ def _long(column: Column) -> Column:
     return column.cast("long")
 
 
+def _homes(placed: DataFrame, **columns: Column) -> DataFrame:
+    """The two cells that each vector of ``placed`` stands in, with other columns."""
+    cells = F.explode(F.array(*[_long(_cell(h, _half(F.col("vector"), h))) for h in (0, 1)])).alias("cell")
+    return placed.select(cells, *[c.alias(n) for n, c in columns.items()])
+
+
+def _probing(placed: DataFrame, **columns: Column) -> DataFrame:
+    """The cells that each vector of ``placed`` looks into (cell, up), with other columns."""
+    kept = [c.alias(n) for n, c in columns.items()]
+    return placed.select(*kept, F.explode(F.concat(_probes(0), _probes(1))).alias("probe")).select(
+        *columns, F.col("probe.cell").alias("cell"), F.col("probe.up").alias("up")
+    ).filter("cell is not null")
+
+
+def _within(a: Column, b: Column) -> Column:
+    """The lower bound over the whole vector, then the exact distance."""
+    apart = embedding(a).bitwiseXOR(embedding(b))
+    return (F.bit_count(apart) <= MAX_DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE)
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of different fingerprints in ``prints`` (print, distinct) within ``MAX_DISTANCE`` bits."""
     placed = prints.select("print", embedding(F.col("print")).alias("vector"))
-    homes = placed.select(
-        F.explode(F.array(*[_long(_cell(h, _half(F.col("vector"), h))) for h in (0, 1)])).alias("cell"),
-        F.col("print").alias("b"),
-    )
-    probes = (
-        placed.select(F.col("print").alias("a"), F.explode(F.concat(_probes(0), _probes(1))).alias("probe"))
-        .select("a", F.col("probe.cell").alias("cell"), F.col("probe.up").alias("up")).filter("cell is not null")
-    )
+    homes, probes = _homes(placed, b=F.col("print")), _probing(placed, a=F.col("print"))
     apart = embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))
     # A pair that meets in the first half is not reported again by the second.
     again = (F.shiftrightunsigned(F.col("p.cell"), 32) == 1) & (F.bit_count(_half(apart, 0)) <= 1)
     return probes.alias("p").join(
         homes.alias("h"),
-        (F.col("p.cell") == F.col("h.cell"))
-        & (F.col("up") | (F.col("a") < F.col("b")))
-        & (F.bit_count(apart) <= MAX_DISTANCE)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
-        & ~again,
+        (F.col("p.cell") == F.col("h.cell")) & (F.col("up") | (F.col("a") < F.col("b"))) & _within(F.col("a"), F.col("b")) & ~again,
     ).select("a", "b")
 
 
+def led_links(prints: DataFrame) -> DataFrame:
+    """Pairs (x, y) of rows of ``prints`` (print, row: a struct, least first) within ``MAX_DISTANCE`` bits, where x is the least row of a cell.
+
+    For a use that only needs components: a row meets one other in each cell it looks into, however many stand there.
+    Repeated fingerprints meet too. What the leaders leave apart is not found.
+    """
+    placed = prints.select("print", "row", embedding(F.col("print")).alias("vector"))
+    leaders = _homes(placed, x=F.struct("row", "print")).groupBy("cell").agg(F.min("x").alias("x"))
+    probes = _probing(placed, y=F.struct("row", "print"))
+    return probes.join(leaders, "cell").filter((F.col("x.row") != F.col("y.row")) & _within(F.col("x.print"), F.col("y.print"))).select(
+        F.col("x.row").alias("x"), F.col("y.row").alias("y")
+    ).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, print (signed), text_hash, first.
 
