@@ -118,6 +118,20 @@ def links(prints: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def text_links(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of ``texts`` (node, text) that fingerprints link, those of equal ones included.
+
+    Texts of one fingerprint are a class, and its least node stands for it: it meets each member, and the representative of
+    every class within ``MAX_DISTANCE`` bits. So the pairs connect all that links of any two texts would, and no class squares.
+    """
+    rows = store(texts.select("node", fingerprints("text").alias("print")).distinct(), "fingerprints")
+    classes = store(rows.groupBy("print").agg(F.min("node").alias("least")), "prints")
+    of = {s: classes.select(F.col("print").alias(s), F.col("least").alias(f"least_{s}")) for s in ("a", "b")}
+    across = links(classes.select("print")).join(of["a"], "a").join(of["b"], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    within = rows.join(classes, "print").filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return across.union(within)
+
+
 def led_links(prints: DataFrame) -> DataFrame:
     """Pairs (x, y) of rows of ``prints`` (print, row: a struct, least first) within ``MAX_DISTANCE`` bits, where x is the least row of a cell.
 

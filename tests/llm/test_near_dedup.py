@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 
 import corpus_pipeline
-from tallywork.llm import near_dedup
+from tallywork.llm import near_dedup, simhash
 from tests.conftest import DATA
 from tests.llm import brute
 
@@ -158,3 +158,64 @@ def test_simhash_proposes_pairs(make, monkeypatch):
     assert len(print_of) == 90
     assert all(((print_of[a] ^ print_of[b]) & (1 << 64) - 1).bit_count() <= 3 for a, b in map(tuple, pairs["proposed"]))
     assert len(pairs["linked"]) > 20 and pairs["linked"] <= pairs["proposed"] and not pairs["linked"] & pairs["tried"]
+
+
+def test_a_text_that_needs_no_shared_shingle_counts_for_others(make):
+    """Pairs of short near copies, of which often one has too few shingles of the first class to need a shared one and the other has not."""
+    random.seed(20)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(300):
+        text = random.choices(words, k=random.choice([13, 14, 20, 50]))
+        rows.append((len(rows), " ".join(text)))
+        text[random.choice([0, -1])] = f"own{k}"
+        rows.append((len(rows), " ".join(text)))
+    want = kept(rows)
+    assert 300 <= len(want) < 330
+    assert ids(near_dedup.keep_one_of_each(make(rows))) == want
+
+
+def test_every_pair_of_op4_is_looked_at(make, monkeypatch):
+    """What op4's fingerprints link is in one component by then or is held to the similarity, also texts with few shared shingles."""
+    random.seed(21)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(30):
+        text = random.choices(words, k=200)
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(2):
+            copy = list(text)
+            copy[random.randrange(200)] = random.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), "ho " * 60 + " ".join(random.choices(words, k=30))))
+    stored = {}
+    original = near_dedup.store
+    monkeypatch.setattr(near_dedup, "store", lambda df, name: stored.setdefault(name, original(df, name)))
+    docs = make(rows)
+    want = kept(rows)
+    assert ids(near_dedup.keep_one_of_each(docs)) == want and len(want) == 60
+    nodes = {r["node"]: r["text"] for r in docs.selectExpr("xxhash64(text) AS node", "text").collect()}
+    prints = {n: simhash.fingerprint(t) for n, t in nodes.items()}
+    linked = {(a, b) for a in nodes for b in nodes if a < b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= simhash.MAX_DISTANCE}
+    root = {n: n for n in nodes}
+
+    def join(pairs):
+        for a, b in pairs:
+            x, y = sorted(find(n) for n in (a, b))
+            root[y] = x
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    pairs = {name: {(r["a"], r["b"]) for r in stored[name].collect()} for name in ("met", "proposed", "tried", "rest")}
+    assert {tuple(sorted(p)) for p in pairs["met"]} <= linked
+    one = {r["node"]: r["root"] for r in stored["roots"].collect()}
+    seen = {tuple(sorted(p)) for name in ("proposed", "tried", "rest") for p in pairs[name]}
+    assert all(one.get(a, a) == one.get(b, b) or tuple(sorted((a, b))) in seen for a, b in pairs["met"])
+    join(pairs["met"])
+    assert all(find(a) == find(b) for a, b in linked)
+    crowd = {n for n, t in nodes.items() if t.startswith("ho ")}
+    assert len(crowd) == 30 and len({find(n) for n in crowd}) == 1
+    assert len({n for p in pairs["rest"] for n in p} & crowd) == 30
